@@ -1,4 +1,7 @@
 """All registered queries and their SQL."""
 
-from ridgeline.catalog import scalars, winds, zones  # noqa: F401
-from ridgeline.catalog.registry import ORACLES, QUERIES  # noqa: F401
+from ridgeline.catalog import rasters, scalars, winds, zones  # noqa: F401
+from ridgeline.catalog.registry import QUERIES, oracle_sql
+
+ORACLES = oracle_sql()
+__all__ = ["ORACLES", "QUERIES"]

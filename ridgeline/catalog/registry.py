@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ridgeline import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, tuple] = {}
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     name: ((), fixtures.shape_sql(name)) for name in fixtures.PROJECTIONS}
 
@@ -66,19 +66,25 @@ def _shaped_sql(body: str, spec: str) -> str:
     return f"SELECT {', '.join(out)} FROM ({body}) AS result"
 
 
-def query(spec: str, sql: str | None = None, needs=(), recursive: bool = False):
-    """Register ``fn(spark, sf_dir)`` under its name, with its oracle if it has one."""
+def query(spec: str, sql: str | None = None, needs=()):
+    """Register ``fn(spark, sf_dir)`` under its name, with its SQL if it has one."""
     def register(fn):
-        name = fn.__name__
-        QUERIES[name] = lambda spark, sf_dir: shaped(fn(spark, sf_dir), spec)
+        QUERIES[fn.__name__] = lambda spark, sf_dir: shaped(fn(spark, sf_dir), spec)
         if sql is not None:
-            parts = [CTES[n][1] for n in _ordered(needs)]
-            head = "WITH " + ("RECURSIVE " if recursive else "") + ", ".join(parts) + " " if parts else ""
-            ORACLES[name] = head + _shaped_sql(sql, spec)
+            ORACLES[fn.__name__] = (spec, sql, tuple(needs))
         return fn
     return register
 
 
+def oracle_sql() -> dict[str, str]:
+    """Full statement per query: the expressions it needs, then its body."""
+    out = {}
+    for name, (spec, sql, needs) in ORACLES.items():
+        parts = [CTES[n][1] for n in _ordered(needs)]
+        out[name] = (f"WITH {', '.join(parts)} " if parts else "") + _shaped_sql(sql, spec)
+    return out
+
+
 # ------------------------------------------------------------- SQL fragments
 def hav(lat1, lon1, lat2, lon2) -> str:
     return (f"(12742000e0 * atan2(sqrt(pow(sin(radians({lat2} - {lat1}) / 2e0), 2) + cos(radians({lat1})) * "

@@ -70,10 +70,14 @@ def best_zone(incidents: DataFrame, scored: DataFrame, radius_m: float = P.RESCU
 
 
 def selected_zone(incidents: DataFrame, scored: DataFrame, grid: DataFrame, grids: DataFrame,
-                  radius_m: float = P.RESCUE_RADIUS_M) -> DataFrame:
-    """Best zone snapped to the incident's grid, or the flattest-cell fallback, flagged as such."""
+                  radius_m: float = P.RESCUE_RADIUS_M, has_model: Column | None = None) -> DataFrame:
+    """Best zone snapped to the incident's grid, or the flattest-cell fallback, flagged as such.
+
+    ``has_model`` marks the incidents the scores apply to; the others fall back.
+    """
     from ridgeline.functions import geo
-    best = best_zone(incidents, scored, radius_m).select(
+    served = incidents if has_model is None else incidents.where(has_model)
+    best = best_zone(served, scored, radius_m).select(
         "incident_id", F.col("latitude").alias("zone_lat"), F.col("longitude").alias("zone_lon"),
         "tactic", "heli_size", "risk_class", "suitability")
     placed = spatial.snap_to_grid(incidents.select("incident_id", "grid_id").join(best, "incident_id"), grids,
