@@ -60,7 +60,7 @@ PROJECTIONS = {
         ("CAST(row_number() OVER (PARTITION BY l_orderkey"
          " ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS INT)", "seq"),
         ("CAST(floor(l_orderkey / 5e3) AS INT)", "grid_id"),
-        ("CAST(l_partkey % 50 AS INT)", "row"),
+        ("CAST(l_partkey % 15 AS INT)", "row"),
         ("CAST(l_suppkey % 100 AS INT)", "col"),
     ]),
     "hazards": ("customer", [
