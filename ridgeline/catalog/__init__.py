@@ -1,6 +1,6 @@
 """All registered queries and their SQL."""
 
-from ridgeline.catalog import decisions, learning, rasters, routes, scalars, winds, zones  # noqa: F401
+from ridgeline.catalog import decisions, learning, rasters, routes, routing, scalars, winds, zones  # noqa: F401
 from ridgeline.catalog.registry import QUERIES, oracle_sql
 
 ORACLES = oracle_sql()

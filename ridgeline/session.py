@@ -1,6 +1,7 @@
 """Session defaults and the shared folder that cuts long lineages."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,19 +19,32 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
             .getOrCreate())
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def _ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the folder the cluster names; only a local session gets one of its own."""
     if spark.sparkContext.getCheckpointDir() is not None:
-        return
+        return spark.sparkContext.getCheckpointDir()
     named = spark.conf.get(CHECKPOINT_SETTING, None)
     if named is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder every executor can reach")
         named = tempfile.mkdtemp(prefix="ridgeline-checkpoint-")
     spark.sparkContext.setCheckpointDir(named)
+    return spark.sparkContext.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors and keeps loop plans short."""
     _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write the rows as a table in the shared folder and read it back.
+
+    Loops with many rounds use this instead of a checkpoint: a checkpoint
+    carries size estimates along, and those multiply with every join, while a
+    written table starts from its real size.
+    """
+    path = f"{_ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
