@@ -1,18 +1,19 @@
 """Wind at cells from a station network: nearest, inverse distance, linear, bias correction.
 
-A station network is small and bounded, the cells are not.  So the network is
-folded into one array value that every task reads (a scalar subquery), and a
-cell is served without any join or shuffle.  The size is checked first; a
-larger network takes the join-based way in each function.
+A station network is small and bounded, the cells are not.  So its rows travel
+with the tasks and a batch of cells is served without any join or shuffle.
+The size is checked first; a larger network takes the join-based way.
 """
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline import params as P
-from ridgeline.functions import geo, wind
+from ridgeline.functions import kernels, wind
 from ridgeline.operators import spatial
 
 MAX_STATIONS = 2000
@@ -23,9 +24,10 @@ def fits(stations: DataFrame, limit: int = MAX_STATIONS) -> bool:
     return stations.limit(limit + 1).count() <= limit
 
 
-def as_array(df: DataFrame, *columns: str) -> Column:
-    """A bounded table as one sorted array of structs."""
-    return df.agg(F.sort_array(F.collect_list(F.struct(*columns)))).scalar()
+def carried(net: DataFrame, *columns: str) -> dict:
+    """Columns of a network that passed ``fits``, ordered by station, as arrays for the tasks."""
+    rows = net.select("station_id", *columns).orderBy("station_id").collect()
+    return {c: np.array([r[c] for r in rows]) for c in ("station_id", *columns)}
 
 
 def network(stations: DataFrame, readings: DataFrame) -> DataFrame:
@@ -36,15 +38,19 @@ def network(stations: DataFrame, readings: DataFrame) -> DataFrame:
 
 def nearest_wind(cells: DataFrame, net: DataFrame, limit: int = MAX_STATIONS) -> DataFrame:
     """Wind of the nearest station in degrees; an empty network leaves nulls."""
+    if net.isEmpty():
+        return cells.withColumns({"near_station": F.lit(None).cast("int"), "wind_speed": F.lit(None).cast("double"),
+                                  "wind_direction": F.lit(None).cast("double")})
     if fits(net, limit):
-        with_net = cells.withColumn("_net", as_array(net, "station_id", "lat", "lon", "ws", "wd"))
-        ranked = F.array_min(F.transform("_net", lambda s: F.struct(
-            ((s["lat"] - F.col("latitude")) * (s["lat"] - F.col("latitude"))
-             + (s["lon"] - F.col("longitude")) * (s["lon"] - F.col("longitude"))).alias("d"),
-            s["station_id"].alias("station_id"), s["ws"].alias("ws"), s["wd"].alias("wd"))))
-        return (with_net.withColumn("_best", ranked)
-                .withColumns({"near_station": F.col("_best.station_id"), "wind_speed": F.col("_best.ws"),
-                              "wind_direction": F.col("_best.wd")}).drop("_net", "_best"))
+        table = carried(net, "lat", "lon", "ws", "wd")
+
+        @F.pandas_udf("near_station int, wind_speed double, wind_direction double")
+        def serve(lat: pd.Series, lon: pd.Series) -> pd.DataFrame:
+            at = kernels.nearest(table, lat.to_numpy(), lon.to_numpy())
+            return pd.DataFrame({"near_station": table["station_id"][at], "wind_speed": table["ws"][at],
+                                 "wind_direction": table["wd"][at]})
+
+        return cells.withColumn("_n", serve("latitude", "longitude")).select("*", "_n.*").drop("_n")
     spots = net.withColumnsRenamed({"lat": "latitude", "lon": "longitude"})
     near = spatial.nearest_join(cells, spots, "cell_id", start=0.05, cell_id="station_id")
     picked = near.join(net.select(F.col("station_id").alias("near_id"), "ws", "wd"), "near_id", "left")
@@ -89,10 +95,15 @@ def _idw_result(cells: DataFrame, sums: str) -> DataFrame:
         return F.when(coincident, F.col(f"{sums}.z_{name}") / F.col(f"{sums}.z_w")) \
             .otherwise(F.col(f"{sums}.{name}") / F.col(f"{sums}.w"))
 
-    out = cells.withColumns({"_ws": mean("ws"), "wind_u": mean("u"), "wind_v": mean("v"), "_elev": mean("elev")})
-    return out.withColumns({
-        "wind_speed": wind.relative_profile(F.col("_ws"), F.col("elevation"), F.col("_elev")),
-        "wind_direction": wind.direction_of(F.col("wind_u"), F.col("wind_v"))}).drop("_ws", "_elev", sums)
+    return _with_profile(cells, {k: mean(k) for k in ("ws", "u", "v", "elev")}).drop(sums)
+
+
+def _with_profile(cells: DataFrame, means: dict[str, Column]) -> DataFrame:
+    """Carry the mean speed from the mean station elevation to the cell, recompose the direction."""
+    return cells.withColumns({
+        "wind_speed": wind.relative_profile(means["ws"], F.col("elevation"), means["elev"]),
+        "wind_u": means["u"], "wind_v": means["v"],
+        "wind_direction": wind.direction_of(means["u"], means["v"])})
 
 
 def idw_wind(cells: DataFrame, net: DataFrame, limit: int = MAX_STATIONS) -> DataFrame:
@@ -102,16 +113,21 @@ def idw_wind(cells: DataFrame, net: DataFrame, limit: int = MAX_STATIONS) -> Dat
     every block's partial sums, which is exact because the sums are additive.
     """
     parts = ("station_id", "lat", "lon", "elev", "ws", "u", "v")
-    origin = net.agg(F.struct(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))).scalar()
     if fits(net, limit):
-        ready = cells.withColumns({"_net": as_array(net, *parts), "_origin": origin})
-        summed = ready.withColumn("_sums", _idw_sums(F.col("_net"), F.col("_origin"))).drop("_net", "_origin")
-        return _idw_result(summed, "_sums")
+        table = carried(net, *parts[1:])
+
+        @F.pandas_udf("ws double, u double, v double, elev double")
+        def serve(lat: pd.Series, lon: pd.Series, elev: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame(kernels.weighted_means(table, lat.to_numpy(), lon.to_numpy(), elev.to_numpy()))
+
+        served = cells.withColumn("_m", serve("latitude", "longitude", "elevation"))
+        return _with_profile(served, {k: F.col(f"_m.{k}") for k in ("ws", "u", "v", "elev")}).drop("_m")
+    origin = net.agg(F.struct(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))).scalar()
     blocks = -(-net.count() // limit)
     grouped = (net.withColumn("_block", F.pmod(F.xxhash64("station_id"), F.lit(blocks)))
                .groupBy("_block").agg(F.collect_list(F.struct(*parts)).alias("_net")))
     spread = cells.withColumn("_origin", origin).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint"))
+        "_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     partial = (spread.join(grouped, "_block")
                .withColumn("_sums", _idw_sums(F.col("_net"), F.col("_origin"))))
     names = [tag + n for tag in ("", "z_") for n in _SUMS]
@@ -161,34 +177,17 @@ def mesh(net: DataFrame, values) -> DataFrame:
     return out
 
 
-def _containing(meshes: Column, lat: Column, lon: Column, values) -> Column:
-    """Interpolated values from the first triangle that contains the point, else null."""
-    def weights(t):
-        a, b, c = t["p_i"], t["p_j"], t["p_k"]
-        det = (b["lat"] - c["lat"]) * (a["lon"] - c["lon"]) + (c["lon"] - b["lon"]) * (a["lat"] - c["lat"])
-        wa = ((b["lat"] - c["lat"]) * (lon - c["lon"]) + (c["lon"] - b["lon"]) * (lat - c["lat"])) / det
-        wb = ((c["lat"] - a["lat"]) * (lon - c["lon"]) + (a["lon"] - c["lon"]) * (lat - c["lat"])) / det
-        return wa, wb, 1 - wa - wb
-
-    edge = -1e-9
-
-    def inside(t):
-        wa, wb, wc = weights(t)
-        return (wa >= edge) & (wb >= edge) & (wc >= edge)
-
-    def value(t):
-        wa, wb, wc = weights(t)
-        return F.struct(*[(wa * t["p_i"][v] + wb * t["p_j"][v] + wc * t["p_k"][v]).alias(v) for v in values])
-
-    return F.get(F.transform(F.slice(F.filter(meshes, inside), 1, 1), value), F.lit(0))
+def interpolate(cells: DataFrame, net: DataFrame, values=("ws", "u", "v")) -> DataFrame:
+    """Linear interpolation inside the hull of a bounded network; null outside."""
+    rows = mesh(net, values).orderBy("i", "j", "k").collect()
+    corners = [tuple(r[p].asDict() for p in ("p_i", "p_j", "p_k")) for r in rows]
 
+    @F.pandas_udf(", ".join(f"{v} double" for v in values))
+    def serve(lat: pd.Series, lon: pd.Series) -> pd.DataFrame:
+        return kernels.inside_triangles(corners, lat.to_numpy(), lon.to_numpy(), values)
 
-def interpolate(cells: DataFrame, net: DataFrame, values=("ws", "u", "v")) -> DataFrame:
-    """Linear interpolation inside the hull of the network; null outside."""
-    meshes = as_array(mesh(net, values), "i", "j", "k", "p_i", "p_j", "p_k")
-    found = cells.withColumn("_mesh", meshes)
-    found = found.withColumn("_at", _containing(F.col("_mesh"), F.col("latitude"), F.col("longitude"), values))
-    return found.withColumns({f"lin_{v}": F.col(f"_at.{v}") for v in values}).drop("_mesh", "_at")
+    found = cells.withColumn("_at", serve("latitude", "longitude"))
+    return found.withColumns({f"lin_{v}": F.col(f"_at.{v}") for v in values}).drop("_at")
 
 
 def linear_wind(cells: DataFrame, net: DataFrame, altitude: bool = True) -> DataFrame:

@@ -1,5 +1,6 @@
 """Hazard points: encoded CSV with WKT positions, area flag and CSV sink."""
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +11,19 @@ POINT = r"POINT\(([0-9.]+)\s+([0-9.]+)\)"
 
 
 def read(spark: SparkSession, path: str, encoding: str = "cp949") -> DataFrame:
-    return (spark.read.schema(schemas.HAZARD).option("header", True)
-            .option("encoding", encoding).csv(path))
+    """Spark reads a few standard encodings only.
+
+    Other ASCII-compatible ones are scanned byte for byte as Latin-1 (their
+    multi-byte letters never contain a comma, quote or line end) and then
+    decoded in Arrow batches.
+    """
+    @F.pandas_udf("string")
+    def decoded(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: t.encode("latin-1").decode(encoding), na_action="ignore")
+
+    raw = (spark.read.schema(schemas.HAZARD).option("header", True)
+           .option("encoding", "ISO-8859-1").csv(path))
+    return raw.select(*[decoded(c).alias(c) for c in raw.columns])
 
 
 def located(hazards: DataFrame, name_like: str | None = None, name: str = "name") -> DataFrame:

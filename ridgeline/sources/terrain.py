@@ -65,5 +65,6 @@ def read_base(spark: SparkSession, path: str, columns=None, split: str | None =
     """Scan the base with only the wanted columns and, if named, one split flag."""
     df = spark.read.parquet(path)
     if split is not None:
-        df = df.where(F.col(split))
+        # a partition folder name reads back as text
+        df = df.where(F.col(split).cast("boolean"))
     return df.select(*columns) if columns else df
