@@ -16,6 +16,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
             .config("spark.driver.memory", memory)
             .config("spark.ui.enabled", "false")
             .config("spark.sql.adaptive.enabled", "true")
+            .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4m")
             .getOrCreate())
 
 

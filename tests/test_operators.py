@@ -172,3 +172,44 @@ def test_neighbours_follow_holes_and_borders(spark):
 def test_scatter_grid_is_full(spark, sf):
     g = raster.scatter_to_grid(shape(spark, sf, "terrain_cells"), 40)
     assert g.count() == 1600 and g.where("elevation is null").isEmpty()
+
+
+def test_shared_tree_equals_brute_force(spark, sf):
+    grid = routes.windy_layer(spark, sf).where("col < 40").withColumn("wind_speed", F.col("wind_speed") * 0.95)
+    edges = routing.flight_edges(grid)
+    table = {}
+    for r in edges.collect():
+        table[(r["row"], r["col"])] = [((e["row"], e["col"]), e["cost_heavy"]) for e in r["edges"]]
+    sources = spark.createDataFrame([(0, "heavy", 10, 39)], "grid_id int, size string, row int, col int")
+    old, routing.ROUTE_TILE = routing.ROUTE_TILE, 9
+    try:
+        tree = routing.source_tree(sources, edges)
+        got = {(r["row"], r["col"]): r["g"] for r in tree.collect()}
+    finally:
+        routing.ROUTE_TILE = old
+    box = (0, 14, 0, 39)
+    for goal in [(0, 0), (3, 17), (14, 39), (9, 5), (10, 39)]:
+        want = brute_force(table, (10, 39), goal, box, None)
+        assert (got.get(goal) is None) == (want is None)
+        if want is not None:
+            assert got[goal] == pytest.approx(want)
+    goals = spark.createDataFrame([(1, 0, "heavy", 3, 17)], "path_id long, grid_id int, size string, row int, col int")
+    walked = routing.tree_paths(goals, tree).orderBy("seq").collect()
+    assert [r["seq"] for r in walked] == list(range(len(walked)))
+    assert (walked[0]["row"], walked[0]["col"]) == (10, 39) and (walked[-1]["row"], walked[-1]["col"]) == (3, 17)
+    for a, b in zip(walked, walked[1:]):
+        assert max(abs(a["row"] - b["row"]), abs(a["col"] - b["col"])) == 1
+
+
+def test_ladder_ends_in_the_straight_line(spark, sf):
+    """With a storm everywhere no level helps; a strong wind needs the relaxed limit."""
+    from ridgeline.catalog.rasters import grids
+    from ridgeline.plans import mission
+    grid, g = routes.windy_layer(spark, sf), grids(spark, sf)
+    base = mission.base_cells(g)
+    start = base.first()
+    asked = spark.createDataFrame([(1, 0, start["row"], start["col"], 5, 80, "light")],
+                                  "path_id long, grid_id int, r0 int, c0 int, r1 int, c1 int, size string")
+    for speed, level in ((17.0, 2), (30.0, 4)):
+        flown = mission.flight_ladder(asked, base, grid.withColumn("wind_speed", F.lit(speed)))
+        assert {r["level"] for r in flown.select("level").collect()} == {level}
