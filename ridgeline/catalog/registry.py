@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline import fixtures
+from ridgeline.session import importable_in_tasks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, tuple] = {}
@@ -69,7 +70,11 @@ def _shaped_sql(body: str, spec: str) -> str:
 def query(spec: str, sql: str | None = None, needs=()):
     """Register ``fn(spark, sf_dir)`` under its name, with its SQL if it has one."""
     def register(fn):
-        QUERIES[fn.__name__] = lambda spark, sf_dir: shaped(fn(spark, sf_dir), spec)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            importable_in_tasks(spark)
+            return shaped(fn(spark, sf_dir), spec)
+
+        QUERIES[fn.__name__] = run
         if sql is not None:
             ORACLES[fn.__name__] = (spec, sql, tuple(needs))
         return fn

@@ -179,6 +179,8 @@ def mesh(net: DataFrame, values) -> DataFrame:
 
 def interpolate(cells: DataFrame, net: DataFrame, values=("ws", "u", "v")) -> DataFrame:
     """Linear interpolation inside the hull of a bounded network; null outside."""
+    if not fits(net):
+        raise ValueError("linear interpolation needs a bounded network; use idw_wind")
     rows = mesh(net, values).orderBy("i", "j", "k").collect()
     corners = [tuple(r[p].asDict() for p in ("p_i", "p_j", "p_k")) for r in rows]
 
@@ -192,8 +194,6 @@ def interpolate(cells: DataFrame, net: DataFrame, values=("ws", "u", "v")) -> Da
 
 def linear_wind(cells: DataFrame, net: DataFrame, altitude: bool = True) -> DataFrame:
     """Linear wind with nearest-station fallback outside the hull, carried to work altitude."""
-    if not fits(net):
-        raise ValueError("linear interpolation needs a bounded network; use idw_wind")
     lin = interpolate(cells, net)
     near = nearest_wind(lin, net)
     near = near.withColumnsRenamed({"wind_speed": "_ws", "wind_direction": "_wd"})

@@ -1,5 +1,6 @@
 """Session defaults and the shared folder that cuts long lineages."""
 
+import os
 import tempfile
 import uuid
 
@@ -20,6 +21,13 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
             .getOrCreate())
 
 
+def importable_in_tasks(spark: SparkSession) -> None:
+    """Python tasks import this package: a cluster job ships it (--py-files), a local one gets its path."""
+    if spark.sparkContext.master.startswith("local"):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+
+
 def _ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the folder the cluster names; only a local session gets one of its own."""
     if spark.sparkContext.getCheckpointDir() is not None:
