@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ridgeline import params as P
 from ridgeline.functions import geo
-from ridgeline.session import cut_lineage
+from ridgeline.session import staged
 
 METRICS = {
     "planar": geo.planar_m,
@@ -75,7 +75,7 @@ def nearest_join(points: DataFrame, cells: DataFrame, point_id: str, metric: str
     while True:
         last = size > 720
         best = _bucket_nearest(open_points, spots, point_id, metric, keys, size)
-        seen = cut_lineage(open_points.join(best, point_id, "left"))
+        seen = staged(open_points.join(best, point_id, "left"))
         final = F.lit(True) if last else F.coalesce(F.col("near_m") <= _safe_reach(metric, size), F.lit(False))
         found.append(seen.where(final).select(point_id, "near_id", "near_m"))
         open_points = seen.where(~final).select(point_id, *keys, "at_lat", "at_lon")

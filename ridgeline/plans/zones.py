@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ridgeline import params as P
 from ridgeline.functions import scores
 from ridgeline.operators import ranking, spatial, tiers
-from ridgeline.session import cut_lineage
+from ridgeline.session import staged
 
 TACTICS = ("landing", "hoist")
 
@@ -79,7 +79,7 @@ def selected_zone(incidents: DataFrame, scored: DataFrame, grid: DataFrame, grid
     from ridgeline.functions import geo
     served = incidents if has_model is None else incidents.where(has_model)
     # one row per incident, used by the match and by the search for the unmatched
-    best = cut_lineage(best_zone(served, scored, radius_m).select(
+    best = staged(best_zone(served, scored, radius_m).select(
         "incident_id", F.col("latitude").alias("zone_lat"), F.col("longitude").alias("zone_lon"),
         "tactic", "heli_size", "risk_class", "suitability"))
     placed = spatial.snap_to_grid(incidents.select("incident_id", "grid_id").join(best, "incident_id"), grids,

@@ -41,18 +41,13 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors and keeps loop plans short."""
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def staged(df: DataFrame) -> DataFrame:
-    """Write the rows as a table in the shared folder and read it back.
+    """Cut the lineage: write the rows as a table in the shared folder and read it back.
 
-    Loops with many rounds use this instead of a checkpoint: a checkpoint
-    carries size estimates along, and those multiply with every join, while a
-    written table starts from its real size.
+    It survives lost executors like a checkpoint does.  A checkpoint would
+    carry size estimates along, and those multiply with every join of a loop;
+    a written table starts from its real size, so small results of a round
+    are broadcast and the large side stays where it is.
     """
     path = f"{_ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
