@@ -2,13 +2,17 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ridgeline.llm.frames import encoded
 from ridgeline.llm.neardup import near_duplicates
+from ridgeline.llm.packing import packed
 from ridgeline.session import importable_in_tasks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,3 +32,13 @@ def query(fn):
 @query
 def op8_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_token_frames(spark, sf_dir):
+    return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+@query
+def op10_best_fit_packing(spark, sf_dir):
+    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
