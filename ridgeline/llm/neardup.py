@@ -7,94 +7,84 @@ registers agree with the probability Jaccard similarity of the weighted sets.  B
 linked if the exact Jaccard similarity of its shingle sets is 0.8 or more.
 
 Exact copies (equal words in equal order) are reduced to their smallest doc_id before banding.  In each bucket all members are
-compared with one representative, not with each other.  Members that fail go on to further rounds with new representatives until
-none is left; a member that failed is compared with members that passed only if the triangle inequality of the Jaccard distance
-allows a link and they are not connected already.
+first compared with one of them, which connects groups of copies without forming their pairs.  In a bucket that still holds several
+components, the members outside of its first member's component then meet all members of other components: in blocks of about
+BLOCK members whose whole signatures are compared in arrays, so that only pairs whose estimate comes near the threshold are emitted.
 """
 
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ridgeline.llm.components import components
-from ridgeline.llm.words import jaccard, mix, shingle_hashes, texts_of_words
+from ridgeline.llm.words import jaccard, mix, shingle_hashes, shingle_runs, texts_of_words
 from ridgeline.session import staged
 
 SIMILARITY = 0.8
-BANDS, ROWS = 20, 5
-LATER_REPRESENTATIVES = 8
+BANDS, ROWS = 41, 8
+BLOCK = 64
+SLACK = 0.12  # over five standard deviations of the estimate from BANDS * ROWS registers
 _STREAM = np.uint64(0xA0761D6478BD642F)
 
 
-def _arrivals(shingles, weights, start, count):
-    """Gaps and registers' random numbers of arrivals start..start+count-1, one row per shingle."""
-    step = np.arange(start, start + count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    seed = shingles[:, None] + step[None, :] * _STREAM
-    uniform = ((mix(seed) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0 ** -53
-    return -np.log(uniform) / weights[:, None], mix(seed + _STREAM)
+def probminhash(owner: np.ndarray, shingles: np.ndarray, weights: np.ndarray, documents: int, size: int) -> np.ndarray:
+    """Registers (documents x size) of many weighted sets at once: the shingle of each register's first arrival.
 
-
-def probminhash(shingles: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
-    """The shingle that each of `size` registers keeps; shingles are distinct 64-bit values, weights positive."""
-    best = np.full(size, np.inf)
-    kept = np.zeros(size, np.uint64)
-    clock = np.zeros(len(shingles))
-    start = 0
+    Element k belongs to document owner[k]; shingles of a document are distinct 64-bit values, weights are positive.
+    """
+    best = np.full(documents * size, np.inf)
+    kept = np.zeros(documents * size, np.uint64)
+    clock, step = np.zeros(len(shingles)), 0
     while len(shingles):
-        count = max(1, int(np.ceil(6.0 * size / len(shingles)))) if start == 0 else 2
-        gaps, random = _arrivals(shingles, weights, start, count)
+        ahead = min(64, max(1, 8192 // len(shingles)))  # a few elements send several arrivals in one go
+        random = mix(shingles[:, None] + np.arange(step + 1, step + ahead + 1).astype(np.uint64) * _STREAM)
+        gaps = -np.log(((random >> np.uint64(20)).astype(np.float64) + 0.5) * 2.0 ** -44) / weights[:, None]
         times = clock[:, None] + np.cumsum(gaps, axis=1)
-        register = (random % np.uint64(size)).astype(np.int64).ravel()
-        flat = times.ravel()
-        order = np.argsort(flat, kind="stable")
-        hit, first = np.unique(register[order], return_index=True)
-        winner = order[first]
-        sooner = flat[winner] < best[hit]
-        best[hit[sooner]] = flat[winner[sooner]]
-        kept[hit[sooner]] = shingles[winner[sooner] // count]
-        clock, start = times[:, -1], start + count
-        going = clock < best.max()
-        shingles, weights, clock = shingles[going], weights[going], clock[going]
-    return kept
-
-
-def _sequence_key(words: np.ndarray) -> tuple[int, int]:
-    """128 bits of the word sequence."""
-    place = np.arange(len(words), dtype=np.uint64)
-    out = []
-    for salt in (0x51ED270B, 0x2545F491):
-        out.append(int((mix(words + np.uint64(salt)) * (mix(place + np.uint64(salt)) | np.uint64(1))).sum(dtype=np.uint64))
-                   + len(words) & (1 << 64) - 1)
-    return tuple(x - (1 << 64) if x >> 63 else x for x in out)
-
-
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+        register = owner[:, None] * size + (random & np.uint64(0xFFFFF)).astype(np.int64) % size
+        np.minimum.at(best, register.ravel(), times.ravel())
+        first = times == best[register]
+        kept[register[first]] = np.broadcast_to(shingles[:, None], times.shape)[first]
+        going = times[:, -1] < best.reshape(documents, size).max(axis=1)[owner]  # a later arrival can't win a register
+        owner, shingles, weights, clock = owner[going], shingles[going], weights[going], times[going, -1]
+        step += ahead
+    return kept.reshape(documents, size)
+
+
+def _sequence_keys(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the word sequence of each row."""
+    place = np.arange(len(words)) - np.repeat(bounds[:-1], np.diff(bounds))
+    placed = mix(words) * (mix(place.astype(np.uint64)) | np.uint64(1))
+    keys = []
+    for term in (placed, mix(placed)):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(term)])
+        keys.append((sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64))
+    return tuple(keys)
 
 
 def _sign(batches, bands, rows):
     for batch in batches:
-        ids = batch.column("doc_id").to_pylist()
-        out = {"doc_id": [], "key1": [], "key2": [], "bands": []}
-        for row, _, _, _, words in texts_of_words(batch.column("text")):
-            if ids[row] is None or not len(words):
-                continue
-            shingles, counts = np.unique(shingle_hashes(words), return_counts=True)
-            kept = probminhash(shingles, 1.0 + np.log(counts), bands * rows).reshape(bands, rows)
-            key = np.arange(bands, dtype=np.uint64)
+        ids = batch.column("doc_id")
+        for first, bounds, words, ends, shingles in shingle_runs(batch.column("text")):
+            n = len(bounds) - 1
+            # the document above the upper 52 bits of the shingle: one sort finds the distinct shingles of all documents
+            owner = np.repeat(np.arange(n, dtype=np.uint64), np.diff(ends))
+            own, counts = np.unique(owner % np.uint64(4096) << np.uint64(52) | shingles >> np.uint64(12), return_counts=True)
+            kept = probminhash((own >> np.uint64(52)).astype(np.int64), own & np.uint64((1 << 52) - 1), 1.0 + np.log(counts), n,
+                               bands * rows).reshape(n, bands, rows)
+            key = np.tile(np.arange(bands, dtype=np.uint64), (n, 1))
             for k in range(rows):
-                key = mix(key * np.uint64(31) + kept[:, k])
-            one, two = _sequence_key(words)
-            out["doc_id"].append(ids[row])
-            out["key1"].append(one)
-            out["key2"].append(two)
-            out["bands"].append(_signed(key))
-        yield pa.RecordBatch.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()),
-                                                         ("bands", pa.list_(pa.int64()))]))
+                key = mix(key * np.uint64(31) + kept[:, :, k])
+            one, two = _sequence_keys(words, bounds)
+            table = pa.RecordBatch.from_arrays(
+                [ids.slice(first, n), pa.array(one), pa.array(two),
+                 pa.FixedSizeListArray.from_arrays(pa.array(key.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64())),
+                 pa.array([row.tobytes() for row in (mix(kept) & np.uint64(255)).astype(np.uint8)], pa.binary())],
+                ["doc_id", "key1", "key2", "bands", "sketch"])
+            yield table.filter(pa.array(np.diff(bounds) > 0)).filter(pc.is_valid(pc.field("doc_id")))
 
 
 def _similar(batches):
@@ -107,9 +97,10 @@ def _similar(batches):
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, key1, key2, bands) of every document with an id and a word."""
+    """(doc_id, key1, key2, bands, sketch) of every document with an id and a word; sketch has a byte per register."""
     return (docs.select(F.col("doc_id").cast("long"), "text")
-            .mapInArrow(partial(_sign, bands=bands, rows=rows), "doc_id long, key1 long, key2 long, bands array<long>"))
+            .mapInArrow(partial(_sign, bands=bands, rows=rows),
+                        "doc_id long, key1 long, key2 long, bands array<long>, sketch binary"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -125,47 +116,45 @@ def _without_singles(members: DataFrame) -> DataFrame:
     return members.join(many, "bucket")
 
 
-def links(members: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def _near_in_blocks(batches, least):
+    for batch in batches:
+        out = {"a": [], "b": []}
+        for row in batch.to_pylist():
+            ids, parts = ([np.array([m[k] for m in row[side]]) for side in ("left", "right")] for k in ("doc_id", "part"))
+            left, right = (np.frombuffer(b"".join(m["sketch"] for m in row[side]), np.uint8).reshape(len(row[side]), -1)
+                           for side in ("left", "right"))
+            for k in range(len(left)):
+                same = (right == left[k]).mean(axis=1)
+                near = (same >= least) & (parts[1] != parts[0][k]) & (ids[1] != ids[0][k])
+                out["a"] += np.minimum(ids[1][near], ids[0][k]).tolist()
+                out["b"] += np.maximum(ids[1][near], ids[0][k]).tolist()
+        yield pa.RecordBatch.from_pydict(out, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _across(members: DataFrame, label: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """(a, b) in a common bucket but in different components, with an estimated similarity of at least `least`."""
+    own = label.select(F.col("node").alias("doc_id"), "component")
+    parts = (members.join(own, "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component"))
+    mixed = (parts.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min_by("part", "doc_id").alias("main"))
+             .where("low != high").select("bucket", "main"))
+    open_ = staged(parts.join(mixed, "bucket").withColumn("inner", F.col("part") == F.col("main")).drop("main"))
+    sizes = open_.groupBy("bucket", "inner").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    blocks = staged(open_.join(sizes, ["bucket", "inner"]).join(sketches, "doc_id")
+                    .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+                    .groupBy("bucket", "inner", "block").agg(F.collect_list(F.struct("doc_id", "part", "sketch")).alias("held")))
+    left = blocks.where(~F.col("inner")).select("bucket", F.col("block").alias("one"), F.col("held").alias("left"))
+    right = blocks.select("bucket", "inner", F.col("block").alias("two"), F.col("held").alias("right"))
+    meet = left.join(right, "bucket").where("inner or one <= two").select("left", "right")
+    return staged(meet.mapInArrow(partial(_near_in_blocks, least=least), "a long, b long").distinct())
+
+
+def links(members: DataFrame, sketches: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b, similarity): links that connect what all similar pairs within buckets (bucket, doc_id) would connect."""
-    spark, far = members.sparkSession, 1 - similarity
-    found = spark.createDataFrame([], "a long, b long, similarity double")
-    first = True
-    open_ = members
-    while True:
-        if first:
-            rep = open_.groupBy("bucket").agg(F.min("doc_id").alias("rep"))
-        else:
-            rank = F.row_number().over(W.partitionBy("bucket").orderBy("doc_id"))
-            rep = (open_.withColumn("rank", rank).where(F.col("rank") <= LATER_REPRESENTATIVES)
-                   .select("bucket", F.col("doc_id").alias("rep")))
-        star = open_.join(rep, "bucket").where("doc_id != rep")
-        pairs = star.select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b")).distinct()
-        seen = _verified(pairs, texts)
-        found = found.unionByName(seen.where(F.col("similarity") >= similarity))
-        known = seen.select(F.struct("a", "b").alias("pair"), "similarity")
-        scored = staged(star.withColumn("pair", F.struct(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b")))
-                        .join(known, "pair").select("bucket", "rep", "doc_id", (1 - F.col("similarity")).alias("far")))
-        joined = scored.groupBy("bucket", "doc_id").agg(F.min("far").alias("nearest"))
-        reps = rep.select("bucket", F.col("rep").alias("doc_id"))
-        failed = joined.where(F.col("nearest") > far + 1e-9).select("bucket", "doc_id").join(reps, ["bucket", "doc_id"], "left_anti")
-        passed = scored.where(F.col("far") <= far + 1e-9)
-        maybe = (scored.where((F.col("far") > far + 1e-9) & (F.col("far") <= 2 * far + 1e-9))
-                 .join(failed, ["bucket", "doc_id"], "left_semi"))
-        if maybe.limit(1).count():
-            label = components(found)
-            mine = label.select(F.col("node").alias("doc_id"), "component")
-            p = (passed.join(mine, "doc_id", "left")
-                 .select("bucket", "rep", F.col("doc_id").alias("p"), F.col("far").alias("p_far"), F.col("component").alias("p_comp")))
-            m = (maybe.join(mine, "doc_id", "left")
-                 .select("bucket", "rep", F.col("doc_id").alias("m"), F.col("far").alias("m_far"), F.col("component").alias("m_comp")))
-            cross = (p.join(m, ["bucket", "rep"]).where("p != m and m_far <= p_far + %r and (m_comp is null or p_comp != m_comp)"
-                                                        % (far + 1e-9))
-                     .select(F.least("p", "m").alias("a"), F.greatest("p", "m").alias("b")).distinct())
-            found = found.unionByName(_verified(cross, texts).where(F.col("similarity") >= similarity))
-        open_ = staged(_without_singles(failed))
-        first = False
-        if not open_.limit(1).count():
-            return found
+    heads = members.groupBy("bucket").agg(F.min("doc_id").alias("head"))
+    stars = members.join(heads, "bucket").where("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
+    star_links = _verified(stars, texts).where(F.col("similarity") >= similarity)
+    others = _across(members, components(star_links), sketches, similarity - SLACK)
+    return star_links.unionByName(_verified(others, texts).where(F.col("similarity") >= similarity))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -183,7 +172,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     members = staged(_without_singles(buckets))
     texts = staged(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi").where(F.col("text").isNotNull())
                    .groupBy("doc_id").agg(F.min("text").alias("text")))
-    label = components(links(members, texts, similarity))
+    sketches = signed.join(members.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.min("sketch").alias("sketch"))
+    label = components(links(members, sketches, texts, similarity))
     # ids that carry several texts tie the leaders of these texts together
     per_id = signed.join(leaders, ["key1", "key2"]).select("doc_id", "leader").distinct()
     several = per_id.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("leader").alias("low")).where("n > 1")

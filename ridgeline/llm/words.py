@@ -99,6 +99,33 @@ def shingle_hashes(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return mix(total)
 
 
+def shingle_runs(column, size: int = SHINGLE, lower: bool = True):
+    """For runs of rows: (first row, offsets of the rows' words, word hashes, offsets of the rows' shingles, shingle hashes).
+
+    Shingles are those of shingle_hashes, for all rows of a run at once.
+    """
+    for first, data, offsets in runs(arrow_texts(column, lower)):
+        starts, ends, bounds = word_spans(data, offsets)
+        words = span_hashes(data, starts, ends)
+        count = np.diff(bounds)
+        total = np.zeros(max(len(words) - size + 1, 0), np.uint64)
+        for k in range(size):
+            total = total * np.uint64(0xC2B2AE3D27D4EB4F) + words[k: len(words) - size + 1 + k]
+        inside = np.zeros(len(words) + 1, bool)
+        inside[: len(total)] = True
+        for back in range(1, size):  # the last words of a row start no whole shingle
+            inside[np.maximum(bounds[1:] - back, bounds[:-1])] = False
+        inside[bounds[:-1][count > 0]] |= (count >= size)[count > 0]
+        short = np.flatnonzero((count > 0) & (count < size))
+        whole = np.zeros(len(words), np.uint64)
+        whole[: len(total)] = mix(total)
+        for k in short:
+            whole[bounds[k]] = shingle_hashes(words[bounds[k]: bounds[k + 1]], size)[0]
+            inside[bounds[k]] = True
+        inside = inside[:-1]
+        yield first, bounds, words, np.concatenate([[0], np.cumsum(np.maximum(count - size + 1, np.minimum(count, 1)))]), whole[inside]
+
+
 def texts_of_words(column, lower: bool = True):
     """For each row in order: (row, data of its run, word starts, word ends, word hashes); starts and ends are within the run."""
     column = arrow_texts(column, lower)
