@@ -128,7 +128,7 @@ def _write(batches, folder, vocabulary):
         for first, ids, ends in tokens.encode(batch.column("text")):
             if writer is None:
                 store.create_dir(where.rpartition("/")[0], recursive=True)
-                out = store.open_output_stream(where)
+                out = store.open_output_stream(where, compression=None)
                 writer = FrameWriter(out)
             for k in range(len(ends) - 1):
                 writer.append(docs[first + k], ids[ends[k]: ends[k + 1]])

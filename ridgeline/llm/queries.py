@@ -5,7 +5,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ridgeline.llm.decontaminate import contaminated
 from ridgeline.llm.frames import encoded
+from ridgeline.llm.language import identified
 from ridgeline.llm.neardup import near_duplicates
 from ridgeline.llm.packing import packed
 from ridgeline.session import importable_in_tasks
@@ -42,3 +44,13 @@ def op9_token_frames(spark, sf_dir):
 @query
 def op10_best_fit_packing(spark, sf_dir):
     return packed(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+@query
+def op4_decontamination(spark, sf_dir):
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_language_id(spark, sf_dir):
+    return identified(table(spark, sf_dir, "documents"))
