@@ -27,7 +27,7 @@ from ridgeline.session import staged
 SIMILARITY = 0.8
 BANDS, ROWS = 41, 8
 BLOCK = 64
-SLACK = 0.12  # over five standard deviations of the estimate from BANDS * ROWS registers
+SLACK = 0.09  # four standard deviations of the estimate from BANDS * ROWS registers
 _STREAM = np.uint64(0xA0761D6478BD642F)
 
 
@@ -120,12 +120,14 @@ def _near_in_blocks(batches, least):
     for batch in batches:
         out = {"a": [], "b": []}
         for row in batch.to_pylist():
-            ids, parts = ([np.array([m[k] for m in row[side]]) for side in ("left", "right")] for k in ("doc_id", "part"))
+            ids, parts, bands = ([np.array([m[k] for m in row[side]]) for side in ("left", "right")] for k in ("doc_id", "part", "bands"))
             left, right = (np.frombuffer(b"".join(m["sketch"] for m in row[side]), np.uint8).reshape(len(row[side]), -1)
                            for side in ("left", "right"))
             for k in range(len(left)):
                 same = (right == left[k]).mean(axis=1)
-                near = (same >= least) & (parts[1] != parts[0][k]) & (ids[1] != ids[0][k])
+                common = bands[1] == bands[0][k]
+                here = bands[1][np.arange(len(right)), common.argmax(axis=1)] == row["bucket"]  # each pair in its first bucket only
+                near = (same >= least) & here & (parts[1] != parts[0][k]) & (ids[1] != ids[0][k])
                 out["a"] += np.minimum(ids[1][near], ids[0][k]).tolist()
                 out["b"] += np.maximum(ids[1][near], ids[0][k]).tolist()
         yield pa.RecordBatch.from_pydict(out, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
@@ -141,10 +143,10 @@ def _across(members: DataFrame, label: DataFrame, sketches: DataFrame, least: fl
     sizes = open_.groupBy("bucket", "inner").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     blocks = staged(open_.join(sizes, ["bucket", "inner"]).join(sketches, "doc_id")
                     .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-                    .groupBy("bucket", "inner", "block").agg(F.collect_list(F.struct("doc_id", "part", "sketch")).alias("held")))
+                    .groupBy("bucket", "inner", "block").agg(F.collect_list(F.struct("doc_id", "part", "bands", "sketch")).alias("held")))
     left = blocks.where(~F.col("inner")).select("bucket", F.col("block").alias("one"), F.col("held").alias("left"))
     right = blocks.select("bucket", "inner", F.col("block").alias("two"), F.col("held").alias("right"))
-    meet = left.join(right, "bucket").where("inner or one <= two").select("left", "right")
+    meet = left.join(right, "bucket").where("inner or one <= two").select("bucket", "left", "right")
     return staged(meet.mapInArrow(partial(_near_in_blocks, least=least), "a long, b long").distinct())
 
 
@@ -173,7 +175,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     texts = staged(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi").where(F.col("text").isNotNull())
                    .groupBy("doc_id").agg(F.min("text").alias("text")))
     sketches = signed.join(members.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(
-        F.min("sketch").alias("sketch"))
+        F.min(F.struct("sketch", "bands")).alias("own")).select("doc_id", "own.sketch", "own.bands")
     label = components(links(members, sketches, texts, similarity))
     # ids that carry several texts tie the leaders of these texts together
     per_id = signed.join(leaders, ["key1", "key2"]).select("doc_id", "leader").distinct()
