@@ -5,12 +5,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from ridgeline.llm.decontaminate import contaminated
 from ridgeline.llm.frames import encoded
 from ridgeline.llm.language import identified
 from ridgeline.llm.neardup import near_duplicates
 from ridgeline.llm.packing import packed
 from ridgeline.llm.passages import repeated_passages
+from ridgeline.llm.pii import span_digests
 from ridgeline.llm.sharding import placed
 from ridgeline.llm.topk import nearest
 from ridgeline.llm.warc import page_digests
@@ -88,3 +91,11 @@ SELECT a_id AS query_id, CAST(n AS INTEGER) AS rank, b_id AS vec_id, CAST(s AS B
 @query
 def op7_repeated_passages(spark, sf_dir):
     return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_pii_sanitisation(spark, sf_dir):
+    return span_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
