@@ -145,7 +145,5 @@ def identified(docs: DataFrame) -> DataFrame:
 def with_language(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """The rows of docs whose text has a recognised language with a score of at least `least`; all columns stay as they are."""
     found = profiles(docs.where(~held_out()).select("text", "lang"))
-    fields = docs.columns
-    marked = docs.withColumn("text_kept", F.col("text"))
-    kept = predict(marked, found).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return kept.withColumnRenamed("text_kept", "text").select(*fields)
+    kept = predict(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "text"), found)
+    return kept.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")

@@ -40,7 +40,10 @@ def _one_line(value) -> str:
 def capture_records(page_id, url, payload: bytes, digest: str, original) -> list[bytes]:
     """Request, response or revisit, and metadata record of one page; original: the page whose response it revisits, or None."""
     uri = _one_line(url)
-    parts = urlsplit(uri) if uri.startswith(("http://", "https://")) else urlsplit("")
+    try:
+        parts = urlsplit(uri)
+    except ValueError:  # not an address: ask for the root of no host
+        parts = urlsplit("")
     response, common = f"<urn:uuid:{uuid.uuid4()}>", [("WARC-Date", DATE), ("WARC-Target-URI", uri)]
     to_it = [("WARC-Concurrent-To", response)]
 
