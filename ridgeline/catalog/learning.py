@@ -51,21 +51,12 @@ def stratified_sample(spark, sf):
     return count.join(kept.groupBy(augment.hard_block().alias("blocked")).agg(F.count("*").alias("n_kept")), "blocked")
 
 
-@query("cell_id:i", f"""
-SELECT cell_id FROM terrain_cells ORDER BY {fraction('cell_id', 42)}, cell_id LIMIT 30000""", ["terrain_cells"])
-def capped_cells(spark, sf):
-    """The 30000-row cap of a terrain crop, by key hash."""
-    return sampling.capped(shape(spark, sf, "terrain_cells"), "cell_id").select("cell_id")
-
-
-@query("n:i min_id:i max_id:i sum_id:i", f"""
-SELECT count(*) AS n, min(cell_id) AS min_id, max(cell_id) AS max_id, sum(cell_id) AS sum_id FROM (
-  SELECT cell_id FROM graded WHERE land_2 <> 1 ORDER BY {fraction('cell_id', 42)}, cell_id LIMIT 5000) AS s""", ["graded"])
+@query("n:i min_id:i max_id:i sum_id:i", """
+SELECT count(*) AS n, min(cell_id) AS min_id, max(cell_id) AS max_id, sum(cell_id) AS sum_id FROM graded WHERE land_2 <> 1""", ["graded"])
 def baseline_pool(spark, sf):
-    """X11: baseline sample of 5000 non-river cells."""
-    pool = sampling.hash_sample(base_cells(spark, sf).where("land_2 <> 1"), "cell_id", 5000)
-    return pool.agg(F.count("*").alias("n"), F.min("cell_id").alias("min_id"), F.max("cell_id").alias("max_id"),
-                    F.sum("cell_id").alias("sum_id"))
+    """X11: the pool of all non-river cells that chosen zones are compared with."""
+    return base_cells(spark, sf).where("land_2 <> 1").agg(F.count("*").alias("n"), F.min("cell_id").alias("min_id"),
+                                                          F.max("cell_id").alias("max_id"), F.sum("cell_id").alias("sum_id"))
 
 
 @query("wind_speed* n_rows:i n_0:i n_1:i n_2:i pct_0* pct_1* pct_2*", f"""

@@ -189,13 +189,12 @@ def flattest_fallback(spark, sf):
 cte("first_zone", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY
   CASE WHEN tactic = 'landing' AND risk_class < 2 THEN 0 WHEN tactic = 'hoist' THEN 1 ELSE 2 END) AS pick FROM calm_1) AS t
 WHERE pick = 1""", "calm_1")
-# incidents whose id is a multiple of five have no model result and take the fallback
 cte("zone_pick", """SELECT z.incident_id, g.grid_id,
   CAST(least(greatest(ceil(round((z.longitude - g.lon0) / g.lon_step, 9) - 5e-1), 0), g.n_rows - 1) AS INT) AS row,
   CAST(least(greatest(ceil(round((z.latitude - g.lat0) / g.lat_step, 9) - 5e-1), 0), g.n_cols - 1) AS INT) AS col,
   z.heli_size || '_' || z.tactic AS mode, z.suitability AS score, z.risk_class, false AS is_fallback
-  FROM first_zone z JOIN incidents i USING (incident_id) JOIN grids g ON g.grid_id = i.grid_id WHERE z.incident_id % 5 <> 0
-UNION ALL SELECT f.incident_id, f.home_grid, f.row, f.col, 'H_Light', 5e-1, NULL, true FROM flat_in f WHERE f.incident_id % 5 = 0""",
+  FROM first_zone z JOIN incidents i USING (incident_id) JOIN grids g ON g.grid_id = i.grid_id
+UNION ALL SELECT f.incident_id, f.home_grid, f.row, f.col, 'H_Light', 5e-1, NULL, true FROM flat_in f WHERE f.incident_id NOT IN (SELECT incident_id FROM first_zone)""",
     "first_zone", "grids", "flat_in")
 
 
@@ -206,11 +205,7 @@ FROM zone_pick p JOIN incidents i USING (incident_id) JOIN layer l ON l.grid_id
 def selected_zone(spark, sf):
     """M9: best zone snapped to the grid, flattest-cell fallback where no model result exists."""
     incidents = shape(spark, sf, "incidents")
-    layer = terrain_layer(spark, sf)
-    with_model = calm_scored(spark, sf)
-    # incidents whose id is a multiple of five have no model result and take the fallback
-    none = F.col("incident_id") % 5 == 0
-    return zones.selected_zone(incidents, with_model, layer, grids(spark, sf), has_model=~none)
+    return zones.selected_zone(incidents, calm_scored(spark, sf), terrain_layer(spark, sf), grids(spark, sf))
 
 
 @query("grid_id:i row:i col:i", """

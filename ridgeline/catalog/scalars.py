@@ -132,28 +132,17 @@ def risk_inputs(spark, sf):
         "tree_height": F.col("canopy_m")})
 
 
-@query("cell_id:i risk_L_Light* risk_L_Heavy* risk_H_Light* risk_H_Heavy* pct_L_Light*",
-       "SELECT *, risk_L_Light * 100e0 AS pct_L_Light FROM (SELECT cell_id, " + ", ".join(
+@query("cell_id:i risk_L_Light* risk_L_Heavy* risk_H_Light* risk_H_Heavy* pct_L_Light* weight_sum*",
+       "SELECT *, risk_L_Light * 100e0 AS pct_L_Light, " + " + ".join(f"{w:e}" for ws in P.RISK_WEIGHTS.values() for w in ws.values())
+       + " AS weight_sum FROM (SELECT cell_id, " + ", ".join(
            "(" + " + ".join(f"coalesce({RISK_PARTS[k]}, 5e-1) * {w:e}" for k, w in ws.items()) + f") AS risk_{m}"
            for m, ws in P.RISK_WEIGHTS.items()) + " FROM risk_in) AS r", ["risk_in"])
 def risk_scores(spark, sf):
-    """Normalised parts, four weighted risks, percent scale, look-up by key."""
-    df = risk_inputs(spark, sf)
-    scored = risk.risk_scores(df, temperature="temp")
-    percent = risk.risk_lookup(risk.risk_scores(df, temperature="temp", percent=True), "L_Light", ["cell_id"])
-    return scored.join(percent.withColumnRenamed("risk", "pct_L_Light"), "cell_id")
-
-
-@query("mode weight_sum* valid n_cells:i", """
-SELECT mode, sum(weight) AS weight_sum, abs(sum(weight) - 1e0) <= 1e-9 AS valid,
-  (SELECT count(*) FROM terrain_cells) AS n_cells FROM (VALUES """ + ", ".join(
-      f"('{m}', {w:e})" for m, ws in P.RISK_WEIGHTS.items() for w in ws.values()) + ") AS t(mode, weight) GROUP BY mode",
-       ["terrain_cells"])
-def weight_check(spark, sf):
-    """Weights of each mode sum to one, next to the number of cells they apply to."""
-    n = shape(spark, sf, "terrain_cells").agg(F.count("*")).scalar()
-    return (risk.weight_table(spark).groupBy("mode").agg(F.sum("weight").alias("weight_sum"))
-            .withColumns({"valid": F.abs(F.col("weight_sum") - 1) <= 1e-9, "n_cells": n}))
+    """Normalised parts, validated weights, four weighted risks, percent scale."""
+    scored = risk.risk_scores(risk_inputs(spark, sf), temperature="temp")
+    valid = risk.validated_weights(P.RISK_WEIGHTS)
+    return scored.withColumns({"pct_L_Light": F.col("risk_L_Light") * 100.0,
+                               "weight_sum": F.lit(sum(w for ws in valid.values() for w in ws.values()))})
 
 
 def steps(x, spec):

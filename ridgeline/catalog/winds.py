@@ -8,6 +8,7 @@ from ridgeline.catalog.zones import RANKED, candidate_sql, greedy_sql
 from ridgeline.fixtures import shape
 from ridgeline.operators import evaluation, stations
 from ridgeline.plans import zones
+from ridgeline.session import staged
 from ridgeline.sources import observations as obs
 
 cte("net", "SELECT s.*, l.ws, l.wd, -sin(radians(l.wd)) AS u, -cos(radians(l.wd)) AS v FROM stations s JOIN latest l USING (station_id)",
@@ -19,7 +20,7 @@ def latest_readings(spark, sf):
 
 
 def live_network(spark, sf):
-    return stations.network(shape(spark, sf, "stations"), latest_readings(spark, sf))
+    return staged(stations.network(shape(spark, sf, "stations"), latest_readings(spark, sf)))
 
 
 VALID = "ws >= -50 AND wd >= -50 AND ws <= 100 AND wd <= 360"
@@ -90,11 +91,10 @@ WHERE {TURN} > 0 AND NOT EXISTS (SELECT 1 FROM net d WHERE d.station_id NOT IN (
     "net")
 
 
-@query("i:i j:i k:i n_readings:i", "SELECT i, j, k, (SELECT count(*) FROM observations) AS n_readings FROM tri", ["tri"])
+@query("i:i j:i k:i", "SELECT i, j, k FROM tri", ["tri"])
 def station_mesh(spark, sf):
     """Delaunay triangles of the network that has readings."""
-    n = shape(spark, sf, "observations").agg(F.count("*")).scalar()
-    return stations.triangles(live_network(spark, sf)).withColumn("n_readings", n)
+    return stations.triangles(live_network(spark, sf))
 
 
 DET = "((lat2 - lat3) * (lon1 - lon3) + (lon3 - lon2) * (lat1 - lat3))"
@@ -132,7 +132,7 @@ LIVE = greedy_sql("live", "live_candidates", 3, 0.000455)
 @query(RANKED, " UNION ALL ".join(f"SELECT * FROM {n}" for n in LIVE), LIVE)
 def ranked_zones_live(spark, sf):
     """M8 with X6: ranked zones under the interpolated live wind."""
-    cells = stations.with_fallback(base_cells(spark, sf), live_network(spark, sf))
+    cells = stations.linear_wind(base_cells(spark, sf), live_network(spark, sf))
     return zones.ranked_zones(shape(spark, sf, "incidents"), zones.score_cells(cells))
 
 
@@ -190,15 +190,3 @@ def scenario_times(spark, sf):
     days = shape(spark, sf, "observations").groupBy(F.date_trunc("day", "ts").alias("day")).agg(
         F.count_distinct("station_id").alias("n_stations"))
     return times_of(days).join(days, "day")
-
-
-@query("cell_id:i wind_speed* station_id:i", """
-SELECT c.cell_id, 6.5e0 AS wind_speed, -1 AS station_id FROM terrain_cells c
-UNION ALL SELECT c.cell_id, 6.5e0, -2 FROM terrain_cells c""", ["terrain_cells"])
-def wind_fallback(spark, sf):
-    """Constant wind below two stations; two synthetic stations when none reports."""
-    none = live_network(spark, sf).where("station_id < 0")
-    cells = stations.with_fallback(shape(spark, sf, "terrain_cells"), none)
-    pair = stations.synthetic_pair(none.select("station_id", "lat", "lon", "elev", "ws", "wd"), 38.1, 128.4)
-    both = pair.agg(F.collect_list("station_id")).scalar()
-    return cells.withColumn("_s", both).withColumn("station_id", F.explode("_s"))

@@ -8,23 +8,71 @@ import pandas as pd
 from ridgeline import params as P
 
 
-def nearest(net: dict, lat, lon) -> np.ndarray:
-    """Index of the nearest station in squared degrees; the first of equals."""
-    best, where = np.full(len(lat), np.inf), np.zeros(len(lat), dtype=int)
-    for i, (y, x) in enumerate(zip(net["lat"], net["lon"])):
-        d = (y - lat) * (y - lat) + (x - lon) * (x - lon)
-        closer = d < best
-        best[closer], where[closer] = d[closer], i
-    return where
+def nearest(blocks: list[dict], lat, lon) -> dict:
+    """Station, ws and wd of the nearest station in squared degrees; the first of equals, station -1 if there is none."""
+    best = np.full(len(lat), np.inf)
+    out = {"station_id": np.full(len(lat), -1), "ws": np.full(len(lat), np.nan), "wd": np.full(len(lat), np.nan)}
+    for net in blocks:
+        for i, (y, x) in enumerate(zip(net["lat"], net["lon"])):
+            d = (y - lat) * (y - lat) + (x - lon) * (x - lon)
+            closer = d < best
+            best[closer] = d[closer]
+            for name, held in out.items():
+                held[closer] = net[name][i]
+    return out
 
 
-def weighted_means(net: dict, lat, lon, elev) -> dict:
+def fan(blocks: list[dict], station, lat, lon) -> list[tuple[int, int]]:
+    """The other two corners of the Delaunay triangles around a station, counter-clockwise."""
+    def scan(score):
+        """(score, station, x, y) of the least score over all stations; ties to the lower station."""
+        found = None
+        for net in blocks:
+            x, y = net["lon"] - lon, net["lat"] - lat
+            value = score(x, y)
+            value[(net["station_id"] == station) | ((x == 0) & (y == 0)) | np.isnan(value)] = np.inf
+            at = int(np.argmin(value)) if len(value) else 0
+            if len(value) and np.isfinite(value[at]) and (found is None or value[at] < found[0]):
+                found = (value[at], int(net["station_id"][at]), float(x[at]), float(y[at]))
+        return found
+
+    def beside(edge, sign):
+        """The next corner on the left (sign 1) or right (-1) of the edge from the station."""
+        _, other, ex, ey = edge
+
+        def reach(x, y):
+            side = sign * (ex * y - ey * x)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                return np.where(side > 0, (x * (x - ex) + y * (y - ey)) / side, np.inf)
+
+        return scan(reach)
+
+    first = scan(lambda x, y: x * x + y * y)
+    out = []
+    if first is None:
+        return out
+    edge, seen = first, {first[1]}
+    while (to := beside(edge, 1)) is not None:
+        out.append((edge[1], to[1]))
+        if to[1] in seen:
+            return out
+        seen.add(to[1])
+        edge = to
+    edge = first
+    while (to := beside(edge, -1)) is not None and (to[1], edge[1]) not in out:
+        out.append((to[1], edge[1]))
+        edge = to
+    return out
+
+
+def weighted_means(blocks: list[dict], lat, lon, elev) -> dict:
     """Inverse-distance means of ws, u, v and elev with the vertical counted many times."""
     degree_m = math.pi / 180.0 * P.EARTH_RADIUS_M
-    shrink = math.cos(math.radians(float(np.mean(net["lat"]))))
+    stations = sum(len(net["lat"]) for net in blocks)
+    shrink = math.cos(math.radians(sum(float(net["lat"].sum()) for net in blocks) / max(1, stations)))
     sums = {k: np.zeros(len(lat)) for k in ("w", "ws", "u", "v", "elev")}
     exact = {k: np.zeros(len(lat)) for k in sums}
-    for i in range(len(net["lat"])):
+    for net, i in ((net, i) for net in blocks for i in range(len(net["lat"]))):
         dy = (net["lat"][i] - lat) * degree_m
         dx = (net["lon"][i] - lon) * degree_m * shrink
         dz = (net["elev"][i] - elev) * P.IDW_VERTICAL_SCALE
@@ -36,21 +84,34 @@ def weighted_means(net: dict, lat, lon, elev) -> dict:
             for k in ("ws", "u", "v", "elev"):
                 totals[k] += factor * net[k][i]
     hit = exact["w"] > 0
-    return {k: np.where(hit, exact[k], sums[k]) / np.where(hit, exact["w"], sums["w"]) for k in sums if k != "w"}
+    with np.errstate(invalid="ignore"):
+        return {k: np.where(hit, exact[k], sums[k]) / np.where(hit, exact["w"], sums["w"]) for k in sums if k != "w"}
 
 
 def inside_triangles(mesh: list, lat, lon, values) -> pd.DataFrame:
-    """Linear values from the first triangle that contains each point; missing outside all."""
-    out = {v: np.full(len(lat), np.nan) for v in values}
-    open_rows = np.ones(len(lat), dtype=bool)
+    """Linear values from the first triangle that contains each point; missing outside all.
+
+    Points are sorted by latitude, so a triangle is tried on the points of its own band only.
+    """
+    order = np.argsort(lat, kind="stable")
+    y, x = lat[order], lon[order]
+    out = {v: np.full(len(y), np.nan) for v in values}
+    open_rows = np.ones(len(y), dtype=bool)
     for a, b, c in mesh:
+        low, high = (f(p["lat"] for p in (a, b, c)) for f in (min, max))
+        band = slice(*np.searchsorted(y, [low - 1e-6 * (1 + high - low), high + 1e-6 * (1 + high - low)]))
+        if band.start >= band.stop:
+            continue
+        py, px = y[band], x[band]
         det = (b["lat"] - c["lat"]) * (a["lon"] - c["lon"]) + (c["lon"] - b["lon"]) * (a["lat"] - c["lat"])
-        wa = ((b["lat"] - c["lat"]) * (lon - c["lon"]) + (c["lon"] - b["lon"]) * (lat - c["lat"])) / det
-        wb = ((c["lat"] - a["lat"]) * (lon - c["lon"]) + (a["lon"] - c["lon"]) * (lat - c["lat"])) / det
+        wa = ((b["lat"] - c["lat"]) * (px - c["lon"]) + (c["lon"] - b["lon"]) * (py - c["lat"])) / det
+        wb = ((c["lat"] - a["lat"]) * (px - c["lon"]) + (a["lon"] - c["lon"]) * (py - c["lat"])) / det
         wc = 1 - wa - wb
-        hit = open_rows & (wa >= -1e-9) & (wb >= -1e-9) & (wc >= -1e-9)
+        hit = open_rows[band] & (wa >= -1e-9) & (wb >= -1e-9) & (wc >= -1e-9)
         for v in values:
-            out[v][hit] = (wa * a[v] + wb * b[v] + wc * c[v])[hit]
-        open_rows &= ~hit
+            out[v][band][hit] = (wa * a[v] + wb * b[v] + wc * c[v])[hit]
+        open_rows[band] &= ~hit
+    back = np.empty(len(order), dtype=int)
+    back[order] = np.arange(len(order))
     # a missing value must reach Spark as null, not as NaN
-    return pd.DataFrame({v: pd.Series(x, dtype="Float64").mask(np.isnan(x)) for v, x in out.items()})
+    return pd.DataFrame({v: pd.Series(z[back], dtype="Float64").mask(np.isnan(z[back])) for v, z in out.items()})

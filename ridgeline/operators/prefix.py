@@ -5,14 +5,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+VALUES_PER_BUCKET = 100_000
+
+
 def running(counts: DataFrame, value: str, sums, keys=(), descending: bool = False,
-            buckets: int = 256) -> DataFrame:
+            per_bucket: int = VALUES_PER_BUCKET) -> DataFrame:
     """Inclusive running sums in value order; needs one row per (keys, value).
 
     The values are cut at their approximate quantiles.  Sums run inside each
     bucket and start from the totals of the buckets before it, so a task holds
-    one bucket and only the few bucket totals are put in one order.
+    one bucket and only the few bucket totals are put in one order.  The number
+    of buckets follows the number of rows, so a bucket stays small.
     """
+    buckets = max(2, -(-counts.count() // per_bucket))
     steps = [i / buckets for i in range(1, buckets)]
     cuts = counts.agg(F.percentile_approx(value, steps, 10 * buckets)).scalar()
     # binary search: the number of cuts at or below the value

@@ -23,11 +23,6 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(key_fraction(F.col(key), seed), key).limit(n)
 
 
-def capped(df: DataFrame, key: str, n: int = 30_000, seed: int = 42) -> DataFrame:
-    """The sample cap: smaller tables pass unchanged because the limit does not bite."""
-    return hash_sample(df, key, n, seed)
-
-
 def by_stratum(df: DataFrame, stratum: Column, fraction: float, key: str, seed: int = 42) -> DataFrame:
     """Keep every row outside the stratum and a fraction of the rows inside it."""
     inside = F.coalesce(stratum, F.lit(False))

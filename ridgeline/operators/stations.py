@@ -1,12 +1,10 @@
 """Wind at cells from a station network: nearest, inverse distance, linear, bias correction.
 
-A station network is small and bounded, the cells are not.  So its rows travel
-with the tasks and a batch of cells is served without any join or shuffle.
-The size is checked first; a larger network takes the join-based way.
+Cells are many, stations are few but not limited: the network is written once, streamed to the tasks in blocks of BLOCK stations
+(48 bytes each) and every batch of cells is served from the blocks in turn, without a join or shuffle.  The way is the same for
+every size of the network.
 """
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,19 +13,24 @@ from pyspark.sql import functions as F
 from ridgeline import params as P
 from ridgeline.functions import kernels, wind
 from ridgeline.operators import spatial
+from ridgeline.session import staged
 
-MAX_STATIONS = 2000
+BLOCK = 2000
 
 
-def fits(stations: DataFrame, limit: int = MAX_STATIONS) -> bool:
-    """Whether the network is small enough to travel as one value (reads limit + 1 rows at most)."""
-    return stations.limit(limit + 1).count() <= limit
+def blocks(net: DataFrame, *columns: str) -> list[dict]:
+    """Columns of a network in blocks of stations, ordered by station, as arrays for the tasks."""
+    out, rows = [], []
+    for row in net.select("station_id", *columns).orderBy("station_id").toLocalIterator():
+        rows.append(row)
+        if len(rows) == BLOCK:
+            out.append(_arrays(rows, ("station_id", *columns)))
+            rows = []
+    return out + ([_arrays(rows, ("station_id", *columns))] if rows else [])
 
 
-def carried(net: DataFrame, *columns: str) -> dict:
-    """Columns of a network that passed ``fits``, ordered by station, as arrays for the tasks."""
-    rows = net.select("station_id", *columns).orderBy("station_id").collect()
-    return {c: np.array([r[c] for r in rows]) for c in ("station_id", *columns)}
+def _arrays(rows, columns) -> dict:
+    return {c: np.array([r[c] for r in rows]) for c in columns}
 
 
 def network(stations: DataFrame, readings: DataFrame) -> DataFrame:
@@ -36,66 +39,19 @@ def network(stations: DataFrame, readings: DataFrame) -> DataFrame:
     return joined.withColumns({"u": wind.u_of(F.col("wd")), "v": wind.v_of(F.col("wd"))})
 
 
-def nearest_wind(cells: DataFrame, net: DataFrame, limit: int = MAX_STATIONS) -> DataFrame:
-    """Wind of the nearest station in degrees; an empty network leaves nulls."""
-    if net.isEmpty():
-        return cells.withColumns({"near_station": F.lit(None).cast("int"), "wind_speed": F.lit(None).cast("double"),
-                                  "wind_direction": F.lit(None).cast("double")})
-    if fits(net, limit):
-        table = carried(net, "lat", "lon", "ws", "wd")
-
-        @F.pandas_udf("near_station int, wind_speed double, wind_direction double")
-        def serve(lat: pd.Series, lon: pd.Series) -> pd.DataFrame:
-            at = kernels.nearest(table, lat.to_numpy(), lon.to_numpy())
-            return pd.DataFrame({"near_station": table["station_id"][at], "wind_speed": table["ws"][at],
-                                 "wind_direction": table["wd"][at]})
-
-        return cells.withColumn("_n", serve("latitude", "longitude")).select("*", "_n.*").drop("_n")
-    spots = net.withColumnsRenamed({"lat": "latitude", "lon": "longitude"})
-    near = spatial.nearest_join(cells, spots, "cell_id", start=0.05, cell_id="station_id")
-    picked = near.join(net.select(F.col("station_id").alias("near_id"), "ws", "wd"), "near_id", "left")
-    return cells.join(picked.select("cell_id", F.col("near_id").alias("near_station"),
-                                    F.col("ws").alias("wind_speed"), F.col("wd").alias("wind_direction")),
-                      "cell_id", "left")
-
-
-_SUMS = ("w", "ws", "u", "v", "elev")
-
-
-def _idw_sums(stations: Column, origin: Column) -> Column:
-    """Weighted sums over an array of stations, and plain sums over the coincident ones."""
-    scale = math.pi / 180.0 * P.EARTH_RADIUS_M
-    k = F.cos(F.radians(origin["lat"]))
-
-    def add(acc, s):
-        dy = (s["lat"] - F.col("latitude")) * scale
-        dx = (s["lon"] - F.col("longitude")) * scale * k
-        dz = (s["elev"] - F.col("elevation")) * P.IDW_VERTICAL_SCALE
-        square = dx * dx + dy * dy + dz * dz
-        same = square < P.IDW_ZERO_M ** 2
-        # power 2 is the default profile: the weight is then 1 / square without a root
-        weight = F.when(same, 0.0).otherwise(
-            1 / square if P.IDW_POWER == 2.0 else F.pow(square, F.lit(-P.IDW_POWER / 2)))
-        hit = F.when(same, 1.0).otherwise(0.0)
-        out = []
-        for tag, factor in (("", weight), ("z_", hit)):
-            for name in _SUMS:
-                value = factor if name == "w" else factor * s[name]
-                out.append((acc[tag + name] + value).alias(tag + name))
-        return F.struct(*out)
-
-    zero = F.struct(*[F.lit(0.0).alias(tag + name) for tag in ("", "z_") for name in _SUMS])
-    return F.aggregate(stations, zero, add)
+def nearest_wind(cells: DataFrame, net: DataFrame) -> DataFrame:
+    """Wind of the nearest station in degrees; null without a station or without coordinates."""
+    parts = blocks(net, "lat", "lon", "ws", "wd")
 
+    @F.pandas_udf("near_station int, wind_speed double, wind_direction double")
+    def serve(lat: pd.Series, lon: pd.Series) -> pd.DataFrame:
+        found = kernels.nearest(parts, lat.to_numpy(float), lon.to_numpy(float))
+        missing = found["station_id"] < 0
+        return pd.DataFrame({"near_station": pd.Series(found["station_id"], dtype="Int32").mask(missing),
+                             "wind_speed": pd.Series(found["ws"], dtype="Float64").mask(missing),
+                             "wind_direction": pd.Series(found["wd"], dtype="Float64").mask(missing)})
 
-def _idw_result(cells: DataFrame, sums: str) -> DataFrame:
-    coincident = F.col(f"{sums}.z_w") > 0
-
-    def mean(name):
-        return F.when(coincident, F.col(f"{sums}.z_{name}") / F.col(f"{sums}.z_w")) \
-            .otherwise(F.col(f"{sums}.{name}") / F.col(f"{sums}.w"))
-
-    return _with_profile(cells, {k: mean(k) for k in ("ws", "u", "v", "elev")}).drop(sums)
+    return cells.withColumn("_n", serve("latitude", "longitude")).select("*", "_n.*").drop("_n")
 
 
 def _with_profile(cells: DataFrame, means: dict[str, Column]) -> DataFrame:
@@ -106,65 +62,34 @@ def _with_profile(cells: DataFrame, means: dict[str, Column]) -> DataFrame:
         "wind_direction": wind.direction_of(means["u"], means["v"])})
 
 
-def idw_wind(cells: DataFrame, net: DataFrame, limit: int = MAX_STATIONS) -> DataFrame:
-    """Terrain-aware inverse distance: the vertical distance counts many times the horizontal.
+def idw_wind(cells: DataFrame, net: DataFrame) -> DataFrame:
+    """Terrain-aware inverse distance: the vertical distance counts many times the horizontal."""
+    parts = blocks(net, "lat", "lon", "elev", "ws", "u", "v")
 
-    Beyond the size limit the network is cut into blocks; each cell adds up
-    every block's partial sums, which is exact because the sums are additive.
-    """
-    parts = ("station_id", "lat", "lon", "elev", "ws", "u", "v")
-    if fits(net, limit):
-        table = carried(net, *parts[1:])
-
-        @F.pandas_udf("ws double, u double, v double, elev double")
-        def serve(lat: pd.Series, lon: pd.Series, elev: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame(kernels.weighted_means(table, lat.to_numpy(), lon.to_numpy(), elev.to_numpy()))
-
-        served = cells.withColumn("_m", serve("latitude", "longitude", "elevation"))
-        return _with_profile(served, {k: F.col(f"_m.{k}") for k in ("ws", "u", "v", "elev")}).drop("_m")
-    origin = net.agg(F.struct(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))).scalar()
-    blocks = -(-net.count() // limit)
-    grouped = (net.withColumn("_block", F.pmod(F.xxhash64("station_id"), F.lit(blocks)))
-               .groupBy("_block").agg(F.collect_list(F.struct(*parts)).alias("_net")))
-    spread = cells.withColumn("_origin", origin).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    partial = (spread.join(grouped, "_block")
-               .withColumn("_sums", _idw_sums(F.col("_net"), F.col("_origin"))))
-    names = [tag + n for tag in ("", "z_") for n in _SUMS]
-    totals = partial.groupBy("cell_id").agg(*[F.sum(f"_sums.{n}").alias(n) for n in names])
-    summed = cells.join(totals.select("cell_id", F.struct(*names).alias("_sums")), "cell_id")
-    return _idw_result(summed, "_sums")
+    @F.pandas_udf("ws double, u double, v double, elev double")
+    def serve(lat: pd.Series, lon: pd.Series, elev: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(kernels.weighted_means(parts, lat.to_numpy(float), lon.to_numpy(float), elev.to_numpy(float)))
+
+    served = cells.withColumn("_m", serve("latitude", "longitude", "elevation"))
+    return _with_profile(served, {k: F.col(f"_m.{k}") for k in ("ws", "u", "v", "elev")}).drop("_m")
 
 
 def triangles(net: DataFrame) -> DataFrame:
-    """Delaunay triangles of a bounded network by the empty-circle rule.
+    """Delaunay triangles (i, j, k), counter-clockwise from the lowest station, by walking around every station.
 
-    For each directed edge (a, b) a third station fixes a circle through all
-    three, and the circle's centre a position t along the edge's bisector.
-    The triangle to the left of the edge is the one with the smallest t, and
-    it is valid when no station on the right has a larger t.  Each triangle is
-    kept once, from its lowest station.
+    The nearest other station is joined to a station by an edge of the mesh.  From an edge, the next triangle on its left is the one
+    whose circle reaches least far along the edge's bisector.  The walk goes around until it is back or meets the hull, and then the
+    other way.  A task walks around its own stations and scans the network once per triangle.
     """
-    stations = F.col("_net")
-    base = net.agg(F.collect_list(F.struct("station_id", "lat", "lon")).alias("_net"))
-    corner = {"a": base.select("_net", F.explode("_net").alias("a"))}
-    edges = (corner["a"].repartition(F.col("a.station_id"))
-             .select("_net", "a", F.explode(stations).alias("b"))
-             .where(F.col("a.station_id") != F.col("b.station_id")))
-    thirds = edges.select("a", "b", F.explode(stations).alias("c")).where(
-        (F.col("c.station_id") != F.col("a.station_id")) & (F.col("c.station_id") != F.col("b.station_id")))
-    ex, ey = F.col("b.lon") - F.col("a.lon"), F.col("b.lat") - F.col("a.lat")
-    cx, cy = F.col("c.lon") - F.col("a.lon"), F.col("c.lat") - F.col("a.lat")
-    side = ex * cy - ey * cx
-    t = (cx * (cx - ex) + cy * (cy - ey)) / side
-    scored = thirds.where(side != 0).select("a", "b", "c", (side > 0).alias("left"), t.alias("t"))
-    best = scored.groupBy(F.col("a.station_id").alias("i"), F.col("b.station_id").alias("j")).agg(
-        F.min(F.when(F.col("left"), F.struct("t", F.col("c.station_id").alias("k")))).alias("near"),
-        F.max(F.when(~F.col("left"), F.col("t"))).alias("right_t"))
-    return (best.where(F.col("near").isNotNull()
-                       & (F.coalesce(F.col("right_t"), F.lit(float("-inf"))) <= F.col("near.t")))
-            .select("i", "j", F.col("near.k").alias("k"))
-            .where((F.col("i") < F.col("j")) & (F.col("i") < F.col("k"))))
+    parts = blocks(net, "lat", "lon")
+
+    @F.pandas_udf("array<struct<j:int,k:int>>")
+    def around(station: pd.Series, lat: pd.Series, lon: pd.Series) -> pd.Series:
+        return pd.Series([[{"j": j, "k": k} for j, k in kernels.fan(parts, *own)] for own in zip(station, lat, lon)])
+
+    spread = net.select("station_id", "lat", "lon").where("lat is not null and lon is not null").repartition("station_id")
+    fans = spread.select(F.col("station_id").alias("i"), F.explode(around("station_id", "lat", "lon")).alias("_t"))
+    return fans.select("i", "_t.j", "_t.k").where("i < j and i < k").distinct()
 
 
 def mesh(net: DataFrame, values) -> DataFrame:
@@ -177,24 +102,29 @@ def mesh(net: DataFrame, values) -> DataFrame:
     return out
 
 
-def interpolate(cells: DataFrame, net: DataFrame, values=("ws", "u", "v")) -> DataFrame:
-    """Linear interpolation inside the hull of a bounded network; null outside."""
-    if not fits(net):
-        raise ValueError("linear interpolation needs a bounded network; use idw_wind")
-    rows = mesh(net, values).orderBy("i", "j", "k").collect()
-    corners = [tuple(r[p].asDict() for p in ("p_i", "p_j", "p_k")) for r in rows]
+def interpolate(cells: DataFrame, net: DataFrame, values=("ws", "u", "v"), faces: DataFrame | None = None) -> DataFrame:
+    """Linear interpolation inside the hull of a network; null outside.  faces: its mesh, if it was made already."""
+    faces = mesh(net, values) if faces is None else faces
+    corners = [tuple(r[p].asDict() for p in ("p_i", "p_j", "p_k")) for r in faces.orderBy("i", "j", "k").toLocalIterator()]
 
     @F.pandas_udf(", ".join(f"{v} double" for v in values))
     def serve(lat: pd.Series, lon: pd.Series) -> pd.DataFrame:
-        return kernels.inside_triangles(corners, lat.to_numpy(), lon.to_numpy(), values)
+        return kernels.inside_triangles(corners, lat.to_numpy(float), lon.to_numpy(float), values)
 
     found = cells.withColumn("_at", serve("latitude", "longitude"))
     return found.withColumns({f"lin_{v}": F.col(f"_at.{v}") for v in values}).drop("_at")
 
 
 def linear_wind(cells: DataFrame, net: DataFrame, altitude: bool = True) -> DataFrame:
-    """Linear wind with nearest-station fallback outside the hull, carried to work altitude."""
-    lin = interpolate(cells, net)
+    """Linear wind with nearest-station fallback outside the hull, carried to work altitude.
+
+    A network without a triangle (fewer than three stations, or all in one line) gives the constant fallback wind.
+    """
+    net = staged(net)
+    faces = staged(mesh(net, ("ws", "u", "v")))
+    if faces.isEmpty():
+        return constant_wind(cells)
+    lin = interpolate(cells, net, faces=faces)
     near = nearest_wind(lin, net)
     near = near.withColumnsRenamed({"wind_speed": "_ws", "wind_direction": "_wd"})
     u = F.coalesce("lin_u", wind.u_of(F.col("_wd")))
@@ -206,12 +136,11 @@ def linear_wind(cells: DataFrame, net: DataFrame, altitude: bool = True) -> Data
     return out.drop("lin_ws", "lin_u", "lin_v", "_ws", "_wd", "near_station")
 
 
-def with_fallback(cells: DataFrame, net: DataFrame, method=linear_wind) -> DataFrame:
-    """The given method, or the constant fallback wind with fewer than two stations."""
-    if net.limit(2).count() < 2:
-        speed, direction = P.FALLBACK_WIND
-        return cells.withColumns({"wind_speed": F.lit(speed), "wind_direction": F.lit(direction)})
-    return method(cells, net)
+def constant_wind(cells: DataFrame) -> DataFrame:
+    """The fallback wind at every cell."""
+    speed, direction = (F.lit(x) for x in P.FALLBACK_WIND)
+    return cells.withColumns({"wind_speed": speed, "wind_u": wind.u_of(direction), "wind_v": wind.v_of(direction),
+                              "wind_direction": direction})
 
 
 def synthetic_pair(net: DataFrame, lat: float, lon: float) -> DataFrame:
@@ -228,11 +157,12 @@ def bias_corrected(points: DataFrame, observed: DataFrame) -> DataFrame:
 
     points: cell_id, latitude, longitude, ws.  observed: station_id, lat, lon, ws.
     """
+    observed = staged(observed)
     at = observed.select("station_id", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"))
     near = spatial.nearest_join(at, points, "station_id", start=0.01)
     residuals = (near.join(points.select(F.col("cell_id").alias("near_id"), F.col("ws").alias("_forecast")), "near_id")
                  .join(observed, "station_id")
                  .select("station_id", "lat", "lon", (F.col("ws") - F.col("_forecast")).alias("residual")))
-    spread = interpolate(points, residuals, ("residual",))
+    spread = interpolate(points, staged(residuals), ("residual",))
     bias = F.coalesce("lin_residual", F.lit(0.0))
     return spread.withColumns({"bias": bias, "ws_corrected": F.col("ws") + bias}).drop("lin_residual")

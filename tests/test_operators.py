@@ -85,11 +85,62 @@ def test_result_does_not_depend_on_partitioning(spark, sf):
     assert rows(a, "cell_id") == rows(b, "cell_id")
 
 
-def test_large_network_way_equals_array_way(spark, sf):
+def test_blocks_of_stations_do_not_change_results(spark, sf, monkeypatch):
     cells, net = shape(spark, sf, "terrain_cells"), winds.live_network(spark, sf)
     cols = ("cell_id", "wind_speed", "wind_direction")
-    for fn in (stations.idw_wind, stations.nearest_wind):
-        assert rows(fn(cells, net, limit=4), *cols) == rows(fn(cells, net), *cols)
+    for fn in (stations.nearest_wind, stations.linear_wind):
+        whole = rows(fn(cells, net), *cols)
+        with monkeypatch.context() as m:
+            m.setattr(stations, "BLOCK", 4)
+            assert rows(fn(cells, net), *cols) == whole
+
+
+NET = "station_id int, lat double, lon double, elev double, ws double, wd double"
+
+
+def small_network(spark, positions):
+    net = spark.createDataFrame([(k, y, x, 100.0, 4.0 + k, 90.0) for k, (y, x) in enumerate(positions)], NET)
+    return stations.network(net.drop("ws", "wd"), net)
+
+
+@pytest.mark.parametrize("positions", [[], [(38.0, 128.0)], [(38.0, 128.0), (38.1, 128.1)], [(38.0, 128.0), (38.1, 128.1), (38.2, 128.2)],
+                                       [(38.0, 128.0)] * 4])
+def test_a_network_without_triangle_gives_the_constant_wind(spark, positions):
+    at = spark.createDataFrame([(1, 38.05, 128.05, 100.0)], "cell_id long, latitude double, longitude double, elevation double")
+    got = stations.linear_wind(at, small_network(spark, positions)).first()
+    assert (got["wind_speed"], got["wind_direction"]) == (6.5, 270.0)
+
+
+def test_cells_without_coordinates_have_no_nearest_station(spark):
+    at = spark.createDataFrame([(1, None, 128.0), (2, 38.0, 128.0)], "cell_id long, latitude double, longitude double")
+    got = {r["cell_id"]: r["near_station"] for r in stations.nearest_wind(at, small_network(spark, [(38.0, 128.1), (39.0, 128.0)])).collect()}
+    assert got == {1: None, 2: 0}
+
+
+def test_synthetic_stations_stand_in_for_an_empty_network(spark):
+    none = small_network(spark, [])
+    assert [r["station_id"] for r in stations.synthetic_pair(none, 38.1, 128.4).orderBy("station_id").collect()] == [-2, -1]
+
+
+def test_a_large_network_is_meshed(spark):
+    """Over 2000 stations: every edge has two triangles or lies on the hull, and no circle holds another station."""
+    import numpy as np
+    spots = np.random.default_rng(3).random((2500, 2))
+    net = spark.createDataFrame([(k, float(y), float(x)) for k, (y, x) in enumerate(spots)], "station_id int, lat double, lon double")
+    faces = [tuple(r) for r in stations.triangles(net).collect()]
+    edges = {}
+    for i, j, k in faces:
+        for a, b in ((i, j), (j, k), (k, i)):
+            assert (a, b) not in edges
+            edges[a, b] = 1
+    hull = sum((b, a) not in edges for a, b in edges)
+    assert len(faces) == 2 * 2500 - 2 - hull
+    for i, j, k in faces[:60]:
+        (ay, ax), (by, bx), (cy, cx) = spots[i], spots[j], spots[k]
+        d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
+        ux = ((ax * ax + ay * ay) * (by - cy) + (bx * bx + by * by) * (cy - ay) + (cx * cx + cy * cy) * (ay - by)) / d
+        uy = ((ax * ax + ay * ay) * (cx - bx) + (bx * bx + by * by) * (ax - cx) + (cx * cx + cy * cy) * (bx - ax)) / d
+        assert ((spots[:, 1] - ux) ** 2 + (spots[:, 0] - uy) ** 2 >= (ax - ux) ** 2 + (ay - uy) ** 2 - 1e-9).all()
 
 
 def test_idw_at_a_station_takes_its_value(spark):
@@ -113,7 +164,7 @@ def test_running_sums_with_few_and_many_buckets(spark):
     df = spark.createDataFrame([(float(i % 50), i % 3 == 0) for i in range(1000)], "v double, hit boolean")
     counts = df.groupBy("v").agg(F.count("*").alias("c"))
     from ridgeline.operators.prefix import running
-    assert rows(running(counts, "v", ("c",), buckets=4), "v", "cum_c") == rows(running(counts, "v", ("c",)), "v", "cum_c")
+    assert rows(running(counts, "v", ("c",), per_bucket=10), "v", "cum_c") == rows(running(counts, "v", ("c",)), "v", "cum_c")
     assert evaluation.exact_median(df, "v").first()[0] == 24.5
 
 
