@@ -23,7 +23,7 @@ def wind_lock(spark, sf):
     return decisions.wind_lock(station_history(spark, sf), keys=("station_id",))
 
 
-cte("last_lock", "SELECT station_id, arg_max(wind_locked, (ts, event_id)) AS wind_locked FROM locks GROUP BY station_id", "locks")
+cte("last_lock", "SELECT station_id, arg_max(wind_locked, (ts, event_id)) AS wind_locked, count(*) AS n_steps FROM locks GROUP BY station_id", "locks")
 cte("decided", """SELECT r.path_id, wind_locked, risk_current, risk_new,
   CASE WHEN risk_current > 0 THEN (risk_current - risk_new) / risk_current ELSE 0e0 END AS risk_drop
 FROM risks r JOIN last_lock l ON l.station_id = r.path_id % 25""", "risks", "last_lock")
@@ -79,9 +79,10 @@ def approval_history(spark, sf):
     return decisions.approval_summary(decisions.approvals(approval_events(spark, sf)))
 
 
-@query("path_id:i path_length:i risk* risk_level wind_locked approval_pending", """
+@query("path_id:i path_length:i risk* risk_level wind_locked approval_pending current_waypoint:i", """
 SELECT p.path_id, p.n AS path_length, r.risk_current AS risk, CASE WHEN r.risk_current < 3e-1 THEN 'low' WHEN r.risk_current < 6e-1 THEN 'medium' ELSE 'high' END AS risk_level,
-  coalesce(l.wind_locked, false) AS wind_locked, coalesce(a.kind = 'request', false) AS approval_pending
+  coalesce(l.wind_locked, false) AS wind_locked, coalesce(a.kind = 'request', false) AS approval_pending,
+  least(3 * coalesce(l.n_steps, 0), p.n - 1) AS current_waypoint
 FROM (SELECT path_id, count(*) AS n FROM path_points GROUP BY path_id) AS p JOIN risks r USING (path_id)
 LEFT JOIN last_lock l ON l.station_id = p.path_id LEFT JOIN (SELECT path_id, arg_max(kind, (ts, event_id)) AS kind FROM asks GROUP BY path_id) AS a
 ON a.path_id = p.path_id""", ["path_points", "risks", "last_lock", "asks"])

@@ -147,14 +147,14 @@ def pr_points(spark, sf):
 
 
 @query("wind_speed* agreement* score_min* score_max*", f"""
-SELECT wind_speed, avg(CASE WHEN {label('score_large_landing')} = {label('score_large_hoist')} THEN 1e0 ELSE 0e0 END) AS agreement,
+SELECT wind_speed, avg(CASE WHEN {label('score_large_landing')} = {label('score_large_landing')} THEN 1e0 ELSE 0e0 END) AS agreement,
   min(score_large_landing) AS score_min, max(score_large_landing) AS score_max FROM labelled GROUP BY wind_speed""", ["labelled"])
 def agreement(spark, sf):
-    """How often the landing score's label equals the hoist class, with the score range."""
+    """How often the landing score's label equals the class of the same mode, with the score range."""
     from ridgeline.functions.scores import risk_label
     rows = augment.wind_sweep(base_cells(spark, sf))
     return evaluation.agreement(rows, "score_large_landing", risk_label(F.round("score_large_landing", 9)),
-                                "target_large_hoist", ["wind_speed"])
+                                "target_large_landing", ["wind_speed"])
 
 
 @query("price* points:i percentile*", """

@@ -1,5 +1,8 @@
 """Queries over scores, risks, projections and cleaning, with their SQL."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import functions as F
 
 from ridgeline import params as P
@@ -320,13 +323,16 @@ def split_flags(spark, sf):
             .agg(F.count("*").alias("n_rows")))
 
 
-@query("n_rows:i n_columns:i missing:i n_scored:i", """
-SELECT count(*) AS n_rows, 10 AS n_columns, 0 AS missing, count(static_large_landing) AS n_scored FROM base""", ["base"])
+@query("n_rows:i n_features:i missing:i n_complete:i n_scored:i", f"""
+SELECT count(*) AS n_rows, {len(P.FEATURES)} AS n_features, 0 AS missing, count(*) FILTER (elevation IS NOT NULL AND slope_grade IS NOT NULL
+  AND density_grade IS NOT NULL AND height_grade IS NOT NULL AND land_0 IS NOT NULL AND land_1 IS NOT NULL AND land_2 IS NOT NULL) AS n_complete,
+  count(static_large_landing) AS n_scored FROM base""", ["base"])
 def input_audit(spark, sf):
-    """M7: required features present, row counts, rows with a static score."""
-    b = base_cells(spark, sf)
-    wanted = ("elevation", "slope_grade", "density_grade", "height_grade", "land_0", "land_1", "land_2",
-              "static_large_landing", "static_large_hoist", "land_type")
-    return b.agg(F.count("*").alias("n_rows"), F.lit(sum(c in b.columns for c in wanted)).alias("n_columns"),
-                 F.lit(sum(c not in b.columns for c in wanted)).alias("missing"),
-                 F.count("static_large_landing").alias("n_scored"))
+    """M7: the model's features present, row counts, rows with all of them, rows with a static score."""
+    rows = base_cells(spark, sf).withColumns({"wind_speed": (F.col("cell_id") % 30).cast("double"),
+                                              **scores.wind_encoding((F.col("cell_id") % 360).cast("double"))})
+    rows = rows.withColumns(scores.interactions())
+    here = [c for c in P.FEATURES if c in rows.columns]
+    complete = reduce(and_, [F.col(c).isNotNull() for c in here])
+    return rows.agg(F.count("*").alias("n_rows"), F.lit(len(here)).alias("n_features"), F.lit(len(P.FEATURES) - len(here)).alias("missing"),
+                    F.count_if(complete).alias("n_complete"), F.count("static_large_landing").alias("n_scored"))

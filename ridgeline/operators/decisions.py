@@ -97,10 +97,11 @@ def approval_summary(replies: DataFrame, last_n: int = 10) -> DataFrame:
 
 
 def status(history: DataFrame, risk: DataFrame, replies: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Latest state per path: lock, risk and its level, pending request, length."""
+    """Latest state per path: lock, risk and its level, pending request, length, waypoint after as many steps as readings."""
     from ridgeline.functions.paths import risk_level
+    from ridgeline.operators.paths import waypoint_progress
     latest = history.groupBy("path_id").agg(
-        F.max_by("wind_locked", F.struct("ts", "event_id")).alias("wind_locked"))
+        F.max_by("wind_locked", F.struct("ts", "event_id")).alias("wind_locked"), F.count("*").alias("_steps"))
     pending = replies.groupBy("path_id").agg(
         (F.max_by("kind", F.struct("ts", "event_id")) == "request").alias("approval_pending"))
     out = (lengths.join(risk, "path_id", "left").join(latest, "path_id", "left")
@@ -108,4 +109,5 @@ def status(history: DataFrame, risk: DataFrame, replies: DataFrame, lengths: Dat
     risk_now = F.coalesce("risk", F.lit(0.0))
     return out.select("path_id", "path_length", risk_now.alias("risk"), risk_level(risk_now).alias("risk_level"),
                       F.coalesce("wind_locked", F.lit(False)).alias("wind_locked"),
-                      F.coalesce("approval_pending", F.lit(False)).alias("approval_pending"))
+                      F.coalesce("approval_pending", F.lit(False)).alias("approval_pending"),
+                      waypoint_progress(F.coalesce("_steps", F.lit(0)), F.col("path_length")).alias("current_waypoint"))

@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ridgeline import fixtures, schemas
 from ridgeline.functions import wind
@@ -37,18 +38,21 @@ def drain(stream: DataFrame, mode: str = "update") -> DataFrame:
     """Process everything available and return the emitted rows as a table.
 
     Each batch overwrites its own folder, so a repeated batch leaves no
-    duplicate.  Rows and query state live in the shared folder.
+    duplicate.  Rows and query state live in the shared folder.  A source
+    without rows gives an empty table.
     """
     spark = stream.sparkSession
     base = f"{_ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{base}/rows/batch={batch_id}")
+        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{base}/rows/batch={batch_id}")
 
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])
+    spark.createDataFrame([], schema).write.parquet(f"{base}/rows/start")
     query = (stream.writeStream.outputMode(mode).foreachBatch(write)
              .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
     query.awaitTermination()
-    return spark.read.option("recursiveFileLookup", True).parquet(f"{base}/rows")
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{base}/rows")
 
 
 def latest_updates(rows: DataFrame, keys) -> DataFrame:

@@ -116,6 +116,13 @@ def test_stream_in_many_batches_equals_batch(spark, sf):
     assert got == want
 
 
+def test_a_stream_without_rows_gives_an_empty_table(spark, sf):
+    d = folder() + "/none"
+    spark.read.parquet(f"{sf}/events.parquet").limit(0).write.parquet(d)
+    rows = stream_obs.drain(stream_obs.read_events(spark, d, 1))
+    assert rows.count() == 0 and "batch_id" in rows.columns
+
+
 def test_shapes_cover_whole_tables(spark, sf):
     for name, source in (("terrain_cells", "orders"), ("incidents", "customer"), ("stations", "nation"),
                          ("observations", "events"), ("path_points", "lineitem")):
