@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ridgeline.llm.words import arrow_texts
+from ridgeline.llm.words import arrow_texts, runs
 
 PROFILE = 300
 SIZES = (1, 2, 3)
@@ -22,6 +22,7 @@ UNKNOWN = "und"
 _BITS = np.uint64(21)
 _BLANK = np.uint64(32)
 MAX_CODE = 0x110000
+COUNT_BYTES, HELD_GRAMS = 1 << 20, 500_000
 
 
 @lru_cache(maxsize=1)
@@ -56,22 +57,39 @@ def ranked(text: str, profile: int = PROFILE) -> np.ndarray:
     return code[np.argsort(-n, kind="stable")[:profile]]
 
 
+def _merged(codes, counts) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes with the sums of their counts."""
+    code, at = np.unique(np.concatenate(codes), return_inverse=True)
+    return code, np.bincount(at, np.concatenate(counts), len(code)).astype(np.int64)
+
+
+def _counted(held) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([x for x, (code, _) in held.items() for _ in range(len(code))], pa.string()),
+         pa.array(np.concatenate([code for code, _ in held.values()]).view(np.int64)),
+         pa.array(np.concatenate([n for _, n in held.values()]))], ["lang", "gram", "n"])
+
+
 def _count(batches):
+    """Counts of a task's n-grams by language, handed on when they are many; texts are read a few at a time."""
+    held = {}
     for batch in batches:
-        parts = {}
-        for lang, text in zip(batch.column("lang").to_pylist(), arrow_texts(batch.column("text")).to_pylist()):
-            parts.setdefault(lang, []).append(text)
-        langs, codes, counts = [], [], []
-        for lang, texts in parts.items():
-            grams = ngrams("\n".join(texts))
-            if grams:
-                code, n = np.unique(np.concatenate(grams), return_counts=True)
-                langs += [lang] * len(code)
-                codes.append(code.view(np.int64))
-                counts.append(n)
-        if langs:
-            yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(np.concatenate(codes)), pa.array(np.concatenate(counts))],
-                                             ["lang", "gram", "n"])
+        texts, langs = arrow_texts(batch.column("text")), batch.column("lang").to_pylist()
+        for first, _, offsets in runs(texts, COUNT_BYTES):
+            parts = {}
+            for lang, text in zip(langs[first: first + len(offsets) - 1], texts.slice(first, len(offsets) - 1).to_pylist()):
+                parts.setdefault(lang, []).append(text)
+            for lang, own in parts.items():
+                grams = ngrams("\n".join(own))
+                if grams:
+                    code, n = np.unique(np.concatenate(grams), return_counts=True)
+                    before = held.get(lang)
+                    held[lang] = _merged((before[0], code), (before[1], n)) if before else (code, n)
+            if sum(len(code) for code, _ in held.values()) > HELD_GRAMS:
+                yield _counted(held)
+                held = {}
+    if held:
+        yield _counted(held)
 
 
 def profiles(labelled: DataFrame, profile: int = PROFILE) -> dict[str, np.ndarray]:
