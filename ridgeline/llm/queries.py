@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-
+from ridgeline.llm import oracles
 from ridgeline.llm.decontaminate import contaminated
 from ridgeline.llm.frames import encoded
 from ridgeline.llm.language import identified
@@ -20,7 +20,7 @@ from ridgeline.llm.warc import page_digests
 from ridgeline.session import importable_in_tasks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_pii_sanitisation": oracles.PII, "op2_warc_captures": oracles.WARC, "op6_top_k": oracles.TOP_K}
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -78,16 +78,6 @@ def op6_top_k(spark, sf_dir):
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
-ORACLES["op6_top_k"] = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
-           FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
-             AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
-c AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, list_dot_product(a.v, b.v) AS s
-      FROM v AS a JOIN v AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
-r AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY s DESC, b_id) AS n FROM c)
-SELECT a_id AS query_id, CAST(n AS INTEGER) AS rank, b_id AS vec_id, CAST(s AS BIGINT) AS score FROM r WHERE n <= 10"""
-
-
 @query
 def op7_repeated_passages(spark, sf_dir):
     return repeated_passages(table(spark, sf_dir, "documents"))

@@ -4,10 +4,12 @@ import hashlib
 import math
 import re
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from ridgeline.llm.oracles import PII
 from ridgeline.llm.pii import KINDS, base_spans, disclosures, found, joined, sanitised, span_digests
 from pyspark.sql import functions as F
 
@@ -92,5 +94,12 @@ def test_sanitised_texts(corpus):
     assert texts[10] == corpus.where("doc_id = 10").first().text
 
 
+def test_spans_match_sql(corpus):
+    con = duckdb.connect()
+    con.register("documents", corpus.select("doc_id", "text").toPandas().astype({"doc_id": "Int64"}))
+    got = corpus.transform(span_digests).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(PII).fetchall()))
+
+
 def test_empty_table(documents):
     assert span_digests(documents([])).count() == 0 and sanitised(documents([])).count() == 0
