@@ -180,7 +180,7 @@ def assembled(records: DataFrame) -> DataFrame:
 
 
 def captures(pages: DataFrame, least_bytes: int = LEAST_BYTES, blocks: bool = True) -> DataFrame:
-    """Archives of all pages in a new shared folder, read back as nested captures."""
+    """Archives of all pages in a new shared folder, read back as nested captures; without blocks their contents stay behind."""
     files = write_archives(pages, shared_folder(pages.sparkSession, "warc"), least_bytes)
     return assembled(read_records(files, blocks))
 
@@ -190,7 +190,9 @@ def page_digests(pages: DataFrame) -> DataFrame:
 
     A revisit finds the page it refers to by the payload digest of the responses in the archives.
     """
-    found = captures(pages, blocks=False).select(
+    files = write_archives(pages, shared_folder(pages.sparkSession, "warc"))
+    records = staged(read_records(files, blocks=False))  # the archives are read once, for all three sides of the join
+    found = assembled(records).select(
         F.expr("try_cast(metadata.fields['page_id'] as bigint)").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"),
         F.col("response.digest").alias("payload_digest"), F.col("response.type").alias("record_type"))
     found = staged(found)
