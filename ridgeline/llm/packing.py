@@ -162,6 +162,6 @@ def packed(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
     before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     first = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     within = W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = (salted.withColumn("within", F.row_number().over(within) - 1).join(first, ["length", "salt"])
+    ranked = (salted.withColumn("within", F.row_number().over(within) - 1).join(first.hint("merge"), ["length", "salt"])
               .withColumn("rank", F.col("first") + F.col("within")).drop("first", "within", "salt"))
     return ranked.mapInArrow(partial(_place, slots=_slots(plan(histogram, capacity))), PIECES + ", sequence_id long, offset long")
