@@ -174,7 +174,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, se
         single = passages.where(F.size("seeds") < MANY_SEEDS)
         rare = (single.withColumn("seed", F.explode("seeds")).join(common, "seed", "left_anti").drop("seed").distinct())
         chosen = passages.where(F.size("seeds") >= MANY_SEEDS).unionByName(rare)
-        found = found.unionByName(chosen.mapInArrow(partial(_align, block=seeds, least=score), ALIGNED))
+        # written, so that the driver lets go of the block
+        found = found.unionByName(staged(chosen.mapInArrow(partial(_align, block=seeds, least=score), ALIGNED)))
     best = F.max(F.struct("score", F.negative("first_word").alias("before"), F.negative("last_word").alias("until"))).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", "best.score", F.negative("best.before").alias("first_word"), F.negative("best.until").alias("last_word"))

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ridgeline.session import staged
+
 K = 10
 SCALE = 1024
 BLOCK_ROWS = 8192
@@ -123,11 +125,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block_queries: int
     """
     usable = "vec_id is not null and vector is not null"
     rows = vectors.select("vec_id", "vector").where(usable)
-    found = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
-    for block in _query_blocks(queries.where(usable).groupBy("vec_id").agg(F.min("vector").alias("vector")), block_queries):
-        found = found.unionByName(rows.mapInArrow(partial(_search, queries=block, k=k), "query_id long, vec_id long, score long"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    for block in _query_blocks(queries.where(usable).groupBy("vec_id").agg(F.min("vector").alias("vector")), block_queries):
+        near = rows.mapInArrow(partial(_search, queries=block, k=k), "query_id long, vec_id long, score long")
+        # written, so that the driver lets go of the block
+        found = found.unionByName(staged(near.withColumn("rank", rank).where(F.col("rank") <= k)))
+    return found
 
 
 def nearest(embeddings: DataFrame, every: int = 100, k: int = K) -> DataFrame:
