@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ridgeline.llm.words import arrow_texts, runs
+from ridgeline.llm.words import text_runs, text_slices
 
 PROFILE = 300
 SIZES = (1, 2, 3)
@@ -74,11 +74,11 @@ def _count(batches):
     """Counts of a task's n-grams by language, handed on when they are many; texts are read a few at a time."""
     held = {}
     for batch in batches:
-        texts, langs = arrow_texts(batch.column("text")), batch.column("lang").to_pylist()
-        for first, _, offsets in runs(texts, COUNT_BYTES):
+        langs = batch.column("lang").to_pylist()
+        for first, data, offsets in text_runs(batch.column("text"), limit=COUNT_BYTES):
             parts = {}
-            for lang, text in zip(langs[first: first + len(offsets) - 1], texts.slice(first, len(offsets) - 1).to_pylist()):
-                parts.setdefault(lang, []).append(text)
+            for k, lang in enumerate(langs[first: first + len(offsets) - 1]):
+                parts.setdefault(lang, []).append(data[offsets[k]: offsets[k + 1]].tobytes().decode("utf-8", "replace"))
             for lang, own in parts.items():
                 grams = ngrams("\n".join(own))
                 if grams:
@@ -128,7 +128,7 @@ class Ranker:
 def _predict(batches, found, profile):
     ranker = Ranker(found, profile)
     for batch in batches:
-        out = [ranker.predict(t) for t in arrow_texts(batch.column("text")).to_pylist()]
+        out = [ranker.predict(t) for _, texts in text_slices(batch.column("text")) for t in texts.to_pylist()]
         keep = [batch.column(k) for k in range(batch.num_columns) if batch.schema.names[k] != "text"]
         yield pa.RecordBatch.from_arrays(
             keep + [pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.float64())],

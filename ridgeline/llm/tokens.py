@@ -10,7 +10,7 @@ from itertools import chain
 import numpy as np
 from tokenizers import Tokenizer
 
-from ridgeline.llm.words import arrow_texts, runs, span_hashes
+from ridgeline.llm.words import span_hashes, text_runs
 
 END_ID = 0
 RUN = 2 << 20
@@ -88,7 +88,7 @@ class Encoder:
 
     def encode(self, column):
         """(first row, ids with END_ID after each row, offsets of the rows and the end) for runs of rows; null counts as empty."""
-        for first, data, offsets in runs(arrow_texts(column), RUN):
+        for first, data, offsets in text_runs(column, limit=RUN):
             starts = np.flatnonzero(_cuts(data, offsets))
             ends = np.append(starts[1:], len(data)) if len(starts) else starts
             hashes = span_hashes(data, starts, ends)

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 RUN_BYTES = 1 << 20
+SLICE_ROWS = 1024
 SHINGLE = 5
 _ODD = 0x9E3779B97F4A7C15
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -48,6 +49,19 @@ def arrow_texts(column, lower: bool = False) -> pa.Array:
     return pc.utf8_lower(column) if lower else column
 
 
+def text_slices(column, lower: bool = False):
+    """(first row, texts as large strings without nulls) for a few rows of a batch at a time, so that no copy of the batch is made."""
+    for first in range(0, len(column), SLICE_ROWS):
+        yield first, arrow_texts(column.slice(first, SLICE_ROWS), lower)
+
+
+def text_runs(column, lower: bool = False, limit: int | None = None):
+    """runs of all slices of a column, with rows counted from its start."""
+    for base, texts in text_slices(column, lower):
+        for first, data, offsets in runs(texts, limit or RUN_BYTES):
+            yield base + first, data, offsets
+
+
 def runs(column: pa.Array, limit: int = RUN_BYTES):
     """(first row, bytes, offsets of the rows and the end) for runs of rows of a large_string array."""
     if len(column) == 0:
@@ -104,7 +118,7 @@ def shingle_runs(column, size: int = SHINGLE, lower: bool = True):
 
     Shingles are those of shingle_hashes, for all rows of a run at once.
     """
-    for first, data, offsets in runs(arrow_texts(column, lower)):
+    for first, data, offsets in text_runs(column, lower):
         starts, ends, bounds = word_spans(data, offsets)
         words = span_hashes(data, starts, ends)
         count = np.diff(bounds)
@@ -128,8 +142,7 @@ def shingle_runs(column, size: int = SHINGLE, lower: bool = True):
 
 def texts_of_words(column, lower: bool = True):
     """For each row in order: (row, data of its run, word starts, word ends, word hashes); starts and ends are within the run."""
-    column = arrow_texts(column, lower)
-    for first, data, offsets in runs(column):
+    for first, data, offsets in text_runs(column, lower):
         starts, ends, bounds = word_spans(data, offsets)
         hashes = span_hashes(data, starts, ends)
         for k in range(len(offsets) - 1):
