@@ -1,10 +1,10 @@
 """Near-duplicate documents by ProbMinHash signatures, banding and exact verification.
 
-A document is the set of its five-word shingles (lower case; see words.py), each weighted with 1 + ln(occurrences).  Every shingle
+A document is the set of its five-word shingles (lower case; see words.py), all of weight 1 however often they occur.  Every shingle
 sends a Poisson stream of arrivals, at a rate equal to its weight, to random registers; a register keeps the shingle that arrived
 first.  A shingle drops out as soon as its next arrival is later than the latest register, which ends the walk early.  Two
-registers agree with the probability Jaccard similarity of the weighted sets.  Bands of registers give candidates, and a pair is
-linked if the exact Jaccard similarity of its shingle sets is 0.8 or more.
+registers agree with the probability Jaccard similarity of the weighted sets, which for equal weights is the Jaccard similarity.
+Bands of registers give candidates, and a pair is linked if the exact Jaccard similarity of its shingle sets is 0.8 or more.
 
 Exact copies (equal words in equal order) are reduced to their smallest doc_id before banding.  In each bucket all members are
 first compared with one of them, which connects groups of copies without forming their pairs.  In a bucket that still holds several
@@ -72,8 +72,8 @@ def _sign(batches, bands, rows):
             n = len(bounds) - 1
             # the document above the upper 52 bits of the shingle: one sort finds the distinct shingles of all documents
             owner = np.repeat(np.arange(n, dtype=np.uint64), np.diff(ends))
-            own, counts = np.unique(owner % np.uint64(4096) << np.uint64(52) | shingles >> np.uint64(12), return_counts=True)
-            kept = probminhash((own >> np.uint64(52)).astype(np.int64), own & np.uint64((1 << 52) - 1), 1.0 + np.log(counts), n,
+            own = np.unique(owner % np.uint64(4096) << np.uint64(52) | shingles >> np.uint64(12))
+            kept = probminhash((own >> np.uint64(52)).astype(np.int64), own & np.uint64((1 << 52) - 1), np.ones(len(own)), n,
                                bands * rows).reshape(n, bands, rows)
             key = np.tile(np.arange(bands, dtype=np.uint64), (n, 1))
             for k in range(rows):

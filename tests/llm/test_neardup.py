@@ -105,3 +105,14 @@ def test_components(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 90), (90, 95), (7, 7), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}
     assert got == {**{k: 0 for k in range(41)}, 90: 90, 95: 90, 100: 90}
+
+
+def test_lines_that_recur_in_one_of_two_texts(documents, words):
+    """Similarity is that of the shingle sets, so how often a line stands in a text must not decide about the candidates."""
+    rows = []
+    for k in range(12):
+        base = words(104, 20 + k)
+        rows += [(10 * k, " ".join(base)), (10 * k + 1, " ".join(base + words(10, 60 + k) * 200))]
+    want = brute(rows)
+    assert all(want[10 * k + 1] == 10 * k for k in range(12))
+    assert {r.doc_id: r.class_id for r in near_duplicates(documents(rows)).collect()} == want
