@@ -1,12 +1,13 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of passages with test items.
 
 Test items are taken in blocks of bounded size; each block goes to the tasks as a table of n-grams and meets all documents.  A
-document emits, for each item with which it shares seeds, the passages around them.  A seed is rare if few documents have it in
-passages with few seeds (copies of an item come with many seeds and don't make its seeds common).  A passage is aligned if it has
-a rare seed or at least MANY_SEEDS different ones.  Its score is the best local alignment of words (+2 equal, -1 different, -1 gap)
-over the score of a whole copy of the item.
+document emits, for each item with which it shares seeds, the passages around them, except those with too few of the item's words
+to reach the score.  All of them are aligned, equal ones of a batch once.  The score is the best local alignment of words (+2 equal,
+-1 different, -1 gap) over the score of a whole copy of the item.  An alignment that is no more than one seed of a longer item counts
+only if a seed of its passage is rare, that is, stands alone in few passages of different wording, or if it has MANY_SEEDS of them.
 """
 
+import hashlib
 from functools import partial
 
 import numpy as np
@@ -61,7 +62,8 @@ class Seeds:
 PASSAGE = "doc_id long, item_id long, first_word long, words array<long>, seeds array<long>"
 
 
-def _passages(batches, block: Seeds, size):
+def _passages(batches, block: Seeds, size, least):
+    of_item = dict(block.items)
     for batch in batches:
         ids = batch.column("doc_id").to_pylist()
         out = {"doc_id": [], "item_id": [], "first_word": [], "words": [], "seeds": []}
@@ -78,6 +80,9 @@ def _passages(batches, block: Seeds, size):
                 slack = max(3, m // 4)
                 lo = max(0, int((at[a:b] - place[a:b]).min()) - slack)
                 hi = min(len(words), int((at[a:b] - place[a:b]).max()) + m + slack)
+                aligned = of_item[block.items[int(item[a])][0]]
+                if np.isin(aligned, words[lo:hi]).sum() < least * len(aligned):  # even with all of these words in order
+                    continue
                 out["doc_id"].append(ids[row])
                 out["item_id"].append(block.items[int(item[a])][0])
                 out["first_word"].append(lo)
@@ -115,30 +120,39 @@ def smith_waterman(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple
 
 
 ALIGNED = "doc_id long, item_id long, score double, first_word long, last_word long"
+LONE = ", lone boolean, content binary, seeds array<long>"  # no more than one seed of a longer item; hash of the passage
 
 
-def _align(batches, block: Seeds, least):
+def _align(batches, block: Seeds, size, least):
     of_item = dict(block.items)
     for batch in batches:
-        rows = batch.to_pylist()
-        rows.sort(key=lambda r: (len(r["words"]), r["doc_id"], r["item_id"], r["first_word"]))
-        while rows:
-            size = min(len(rows), max(1, 200_000 // max(1, len(rows[-1]["words"]))))
-            part, rows = rows[-size:], rows[:-size]
-            items = [of_item[r["item_id"]].view(np.int64) for r in part]
-            words = [np.array(r["words"], np.int64) for r in part]
+        rows, same = batch.to_pylist(), {}
+        for r in rows:
+            same.setdefault((r["item_id"], np.array(r["words"], np.int64).tobytes()), []).append(r)
+        cases = sorted(same.items(), key=lambda c: (len(c[0][1]), c[0]))
+        while cases:
+            n = min(len(cases), max(1, 200_000 // max(1, len(cases[-1][0][1]) // 8)))
+            part, cases = cases[-n:], cases[:-n]
+            items = [of_item[item].view(np.int64) for (item, _), _ in part]
+            words = [np.frombuffer(w, np.int64) for (_, w), _ in part]
             raw, end = smith_waterman(items, words)
-            keep = [k for k in range(size) if raw[k] >= least * SAME * len(items[k])]
-            out = {"doc_id": [], "item_id": [], "score": [], "first_word": [], "last_word": []}
+            keep = [k for k in range(n) if raw[k] >= least * SAME * len(items[k])]
+            out = {f.split()[0]: [] for f in (ALIGNED + LONE).split(", ")}
             if keep:
                 _, back = smith_waterman([items[k][::-1] for k in keep], [words[k][: end[k]][::-1] for k in keep])
                 for k, b in zip(keep, back):
-                    start = part[k]["first_word"]
-                    for name, value in zip(out, (part[k]["doc_id"], part[k]["item_id"], raw[k] / (SAME * len(items[k])),
-                                                 start + int(end[k] - b), start + int(end[k]) - 1)):
-                        out[name].append(value)
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()),
-                                                             ("first_word", pa.int64()), ("last_word", pa.int64())]))
+                    whole, lone = SAME * len(items[k]), False
+                    if raw[k] <= SAME * size and raw[k] < whole:
+                        lone = len(part[k][1][0]["seeds"]) < MANY_SEEDS
+                    content = hashlib.blake2b(part[k][0][1], digest_size=16).digest() if lone else None
+                    for r in part[k][1]:
+                        start = r["first_word"]
+                        for name, value in zip(out, (r["doc_id"], r["item_id"], raw[k] / whole, start + int(end[k] - b),
+                                                     start + int(end[k]) - 1, lone, content, r["seeds"] if lone else None)):
+                            out[name].append(value)
+            yield pa.RecordBatch.from_pydict(out, pa.schema([
+                ("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()),
+                ("last_word", pa.int64()), ("lone", pa.bool_()), ("content", pa.binary()), ("seeds", pa.list_(pa.int64()))]))
 
 
 def _blocks(benchmark: DataFrame, size: int):
@@ -168,14 +182,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, se
     found = docs.sparkSession.createDataFrame([], ALIGNED)
     for block in _blocks(benchmark, block_items):
         seeds = Seeds(_item_words(block, seed_words), seed_words)
-        passages = staged(rows.mapInArrow(partial(_passages, block=seeds, size=seed_words), PASSAGE))
-        alone = passages.where(F.size("seeds") < MANY_SEEDS).select("doc_id", F.explode("seeds").alias("seed"))
-        common = (alone.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > few).select("seed"))
-        single = passages.where(F.size("seeds") < MANY_SEEDS)
-        rare = (single.withColumn("seed", F.explode("seeds")).join(common, "seed", "left_anti").drop("seed").distinct())
-        chosen = passages.where(F.size("seeds") >= MANY_SEEDS).unionByName(rare)
+        passages = rows.mapInArrow(partial(_passages, block=seeds, size=seed_words, least=score), PASSAGE)
         # written, so that the driver lets go of the block
-        found = found.unionByName(staged(chosen.mapInArrow(partial(_align, block=seeds, least=score), ALIGNED)))
+        aligned = staged(passages.mapInArrow(partial(_align, block=seeds, size=seed_words, least=score), ALIGNED + LONE))
+        columns = [f.split()[0] for f in ALIGNED.split(", ")]
+        lone = aligned.where("lone").withColumn("seed", F.explode("seeds"))
+        owners = lone.groupBy("item_id", "seed", "content").agg(F.min("doc_id").alias("owner"))
+        rare = (owners.groupBy("item_id", "seed", "owner").agg(F.lit(1).alias("one")).groupBy("item_id", "seed")
+                .agg(F.count("*").alias("n")).where(F.col("n") <= few).select("item_id", "seed"))
+        found = found.unionByName(aligned.where("not lone").select(columns)).unionByName(
+            staged(lone.join(rare, ["item_id", "seed"], "left_semi").select(columns)))
     best = F.max(F.struct("score", F.negative("first_word").alias("before"), F.negative("last_word").alias("until"))).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", "best.score", F.negative("best.before").alias("first_word"), F.negative("best.until").alias("last_word"))

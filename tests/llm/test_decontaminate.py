@@ -58,3 +58,16 @@ def test_a_common_seed_alone_is_no_leak(documents, items, words):
 def test_empty_tables(documents, items, spark):
     assert contaminated(documents([]), items).count() == 0
     assert contaminated(documents([(1, "a b c d")]), items.where("false")).count() == 0
+
+
+def test_many_documents_with_few_seeds_of_an_item(documents, spark, words):
+    """Copies of one document, heavily edited copies and copies of short items don't make their own seeds common."""
+    long, short, stock = words(16, 0), words(3, 1), words(6, 2)
+    items = spark.createDataFrame([(0, " ".join(long)), (1, " ".join(short)), (2, " ".join(stock))], "item_id long, text string")
+    edited = [w if k in (0, 1, 3, 4, 5, 7, 8, 10, 11, 13, 14) else f"edit{k}" for k, w in enumerate(long)]
+    rows = [(k, " ".join(words(30, 100 + k) + edited + words(30, 200 + k))) for k in range(20)]
+    rows += [(100 + k, " ".join(words(30, 300 + k) + short + words(30, 400 + k))) for k in range(20)]
+    rows += [(200 + k, " ".join(words(30, 500) + stock[:3] + words(30, 501))) for k in range(20)]  # copies of one document
+    got = {(r.doc_id, r.item_id): r.score for r in contaminated(documents(rows), items).collect()}
+    assert set(got) == {(k, 0) for k in range(20)} | {(100 + k, 1) for k in range(20)} | {(200 + k, 2) for k in range(20)}
+    assert all(0.5 <= got[k, 0] < 0.6 and got[100 + k, 1] == 1 and got[200 + k, 2] == 0.5 for k in range(20))
