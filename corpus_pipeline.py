@@ -46,7 +46,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents with their places in sequences of 2048 tokens."""
-    return packed(docs, public_tokenizers.path(VOCABULARY))
+    return packed(docs, public_tokenizers.path(VOCABULARY), added=True)
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", pii),

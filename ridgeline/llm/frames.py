@@ -117,8 +117,8 @@ class FrameReader:
         return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
-def _write(batches, folder, vocabulary):
-    tokens, file_no = encoder(vocabulary), TaskContext.get().partitionId()
+def _write(batches, folder, vocabulary, added):
+    tokens, file_no = encoder(vocabulary, added), TaskContext.get().partitionId()
     path = f"{folder}/part-{file_no:06d}-{uuid.uuid4().hex}.zst"
     store, where = opened(path)
     writer = out = None
@@ -140,17 +140,18 @@ def _write(batches, folder, vocabulary):
                                           "n_docs": [len(writer.docs)], "n_tokens": [total]})
 
 
-def write_tokens(docs: DataFrame, folder: str, vocabulary: str, files: int | None = None) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, vocabulary: str, files: int | None = None, added: bool = False) -> DataFrame:
     """Write docs(doc_id, text, ...) below folder; returns the manifest (file_no, path, n_docs, n_tokens, start).
 
     Files follow each other in ascending doc_id; start is the number of ids in the files before.  A null text is an empty document
     (one end id), a null id comes first, rows with equal ids are ordered by text, repeated rows are written each time, other
     columns are not read, an empty table gives an empty manifest.  The default number of files is that of shuffle partitions.
+    added: find the added tokens of the vocabulary in texts.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = rows.repartitionByRange(*([files] if files else []), "doc_id")
     manifest = staged(dealt.sortWithinPartitions("doc_id", "text")
-                      .mapInArrow(partial(_write, folder=folder, vocabulary=vocabulary), MANIFEST))
+                      .mapInArrow(partial(_write, folder=folder, vocabulary=vocabulary, added=added), MANIFEST))
     before = W.orderBy("file_no").rowsBetween(W.unboundedPreceding, -1)  # one row per file
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
@@ -192,6 +193,6 @@ def read_documents(manifest: DataFrame, doc_ids: list[int]) -> DataFrame:
     return _one_file_a_task(wanted).mapInArrow(_pick, "doc_id long, ids array<long>")
 
 
-def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
+def encoded(docs: DataFrame, vocabulary: str, added: bool = False) -> DataFrame:
     """Write all documents to a new shared folder and read the digests back."""
-    return read_digests(write_tokens(docs, shared_folder(docs.sparkSession, "tokens"), vocabulary))
+    return read_digests(write_tokens(docs, shared_folder(docs.sparkSession, "tokens"), vocabulary, added=added))

@@ -25,8 +25,8 @@ CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _cut(batches, vocabulary, capacity):
-    tokens = encoder(vocabulary)
+def _cut(batches, vocabulary, capacity, added):
+    tokens = encoder(vocabulary, added)
     for batch in batches:
         docs = batch.column("doc_id").to_pylist()
         out = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
@@ -41,10 +41,10 @@ def _cut(batches, vocabulary, capacity):
                                                          ("length", pa.int64()), ("ids_crc32", pa.int64())]))
 
 
-def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
+def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): a document longer than capacity is cut into full pieces, the first may be shorter."""
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-            .mapInArrow(partial(_cut, vocabulary=vocabulary, capacity=capacity), PIECES))
+            .mapInArrow(partial(_cut, vocabulary=vocabulary, capacity=capacity, added=added), PIECES))
 
 
 def _complement(left: np.ndarray, gap: int, longest: int) -> tuple[int, ...] | None:
@@ -148,13 +148,13 @@ def _place(batches, slots):
             ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
 
-def packed(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
+def packed(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
     """One row per piece of docs(doc_id, text, ...) with its sequence_id and its offset there; offsets of a sequence have no gaps.
 
     A null text is an empty document (one end id), rows with a null or repeated id are packed like others, other columns are not
-    read, an empty table gives an empty result.
+    read, an empty table gives an empty result.  added: find the added tokens of the vocabulary in texts.
     """
-    pieces = staged(cut_documents(docs, vocabulary, capacity))
+    pieces = staged(cut_documents(docs, vocabulary, capacity, added))
     salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = pieces.withColumn("salt", F.pmod(F.hash("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     counts = staged(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))

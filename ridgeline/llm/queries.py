@@ -45,12 +45,12 @@ def op8_minhash_near_dedup(spark, sf_dir):
 
 @query
 def op9_token_frames(spark, sf_dir):
-    return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), added=True)
 
 
 @query
 def op10_best_fit_packing(spark, sf_dir):
-    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), added=True)
 
 
 @query

@@ -1,7 +1,8 @@
 """Token ids of whole Arrow columns through the tokenizers library.
 
 A text is cut before every blank that a visible character follows, and between a letter and a punctuation mark other than the
-apostrophe.  The vocabulary's word pattern never joins across such places, so the ids of a text are the ids of its chunks in order.  Each distinct chunk is encoded once per process and kept in a table of bounded size.
+apostrophe.  The vocabulary's word pattern never joins across such places, so the ids of a text are the ids of its chunks in order.  With `added`, the vocabulary's added
+tokens are found in texts, as the library does by itself, and each is a chunk of its own; without, they are ordinary characters.  Each distinct chunk is encoded once per process and kept in a table of bounded size.
 """
 
 import re
@@ -54,10 +55,29 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return cut[:-1]
 
 
+def _isolate(cut: np.ndarray, data: np.ndarray, offsets: np.ndarray, pattern: re.Pattern):
+    """Make each match of the pattern within a row a chunk; a blank before it stays with the blanks before."""
+    raw, at = data.tobytes(), 0
+    while found := pattern.search(raw, at):
+        start, end = found.span()
+        k = int(np.searchsorted(offsets, start, "right"))
+        if end > offsets[k]:  # goes on in the next row
+            at = start + 1
+            continue
+        if start > offsets[k - 1] and start - 1 not in (offsets[k - 1], at):
+            cut[start - 1] &= not _BLANK[data[start - 1]]
+        cut[start: end] = False
+        cut[start] = True
+        cut[end: end + 1] = True
+        at = end
+
+
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        tokens = sorted((t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, tokens))) if added and tokens else None
         self._clear()
 
     def _clear(self):
@@ -89,7 +109,10 @@ class Encoder:
     def encode(self, column):
         """(first row, ids with END_ID after each row, offsets of the rows and the end) for runs of rows; null counts as empty."""
         for first, data, offsets in text_runs(column, limit=RUN):
-            starts = np.flatnonzero(_cuts(data, offsets))
+            cut = _cuts(data, offsets)
+            if self.added:
+                _isolate(cut, data, offsets, self.added)
+            starts = np.flatnonzero(cut)
             ends = np.append(starts[1:], len(data)) if len(starts) else starts
             hashes = span_hashes(data, starts, ends)
             unique, sample, chunk = np.unique(hashes, return_index=True, return_inverse=True)
@@ -114,8 +137,8 @@ class Encoder:
             yield first, out, row_ends
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added: bool = False) -> Encoder:
     """The encoder of this process for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, added) not in _encoders:
+        _encoders[path, added] = Encoder(path, added)
+    return _encoders[path, added]

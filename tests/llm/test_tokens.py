@@ -140,3 +140,29 @@ def test_plans_use_every_piece_once_and_fit(histogram):
 def test_exact_complements_are_found():
     assert len(plan({20: 3, 12: 3}, 32)) == 1 and sum(n for n, _ in plan({20: 3, 7: 3, 5: 3}, 32)) == 3
     assert sum(n for n, _ in plan({17: 2, 8: 2, 4: 2, 3: 2}, 32)) == 2
+
+
+SPECIAL = ["a <|endoftext|> b", "a  <|endoftext|>  b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y", " <|endoftext|> \n", "a <|endof", "text|> b",
+           "tab\t \n<|endoftext|>'s", "é<|endoftext|>é", "  \n", "<|endoftext|>", "a<|endoftext|", ">", "<|ENDOFTEXT|>", "\n\n\n<|endoftext|>\n\n x",
+           "a. <|endoftext|> <|endoftext|>  <|endoftext|>"]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "a", "é", "'s", ".", "word"]), max_size=9).map("".join), max_size=9))
+def test_added_tokens_are_those_of_the_library(texts):
+    untouched = Tokenizer.from_file(PATH)
+    texts = texts + SPECIAL
+    got = [ids[ends[k]: ends[k + 1]].tolist() for _, ids, ends in Encoder(PATH, added=True).encode(pa.array(texts, pa.string()))
+           for k in range(len(ends) - 1)]
+    assert got == [ids_of(untouched, t) for t in texts]
+
+
+def test_queries_find_added_tokens(spark, tmp_path):
+    from ridgeline.llm.queries import QUERIES
+
+    untouched, texts = Tokenizer.from_file(PATH), dict(enumerate(SPECIAL))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in texts.items()], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {k: (len(ids_of(untouched, t)), zlib.crc32(np.array(ids_of(untouched, t), "<u4").tobytes())) for k, t in texts.items()}
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in QUERIES["op9_token_frames"](spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in QUERIES["op10_best_fit_packing"](spark, str(tmp_path)).collect()} == want
