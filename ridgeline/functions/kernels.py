@@ -23,21 +23,28 @@ def nearest(blocks: list[dict], lat, lon) -> dict:
 
 
 def fan(blocks: list[dict], station, lat, lon) -> list[tuple[int, int]]:
-    """The other two corners of the Delaunay triangles around a station, counter-clockwise."""
+    """The other two corners of the Delaunay triangles whose lowest station is the given one, counter-clockwise.
+
+    Stations on one circle without another inside make a polygon, which is fanned from its lowest station, whoever walks past it.
+    """
     def scan(score):
-        """(score, station, x, y) of the least score over all stations; ties to the lower station."""
-        found = None
+        """(score, station, x, y) of all stations at the least score, up to rounding; of stations in one place the lowest."""
+        least, found = np.inf, []
         for net in blocks:
             x, y = net["lon"] - lon, net["lat"] - lat
             value = score(x, y)
             value[(net["station_id"] == station) | ((x == 0) & (y == 0)) | np.isnan(value)] = np.inf
-            at = int(np.argmin(value)) if len(value) else 0
-            if len(value) and np.isfinite(value[at]) and (found is None or value[at] < found[0]):
-                found = (value[at], int(net["station_id"][at]), float(x[at]), float(y[at]))
-        return found
+            least = min(least, value.min(initial=np.inf))
+            near = np.flatnonzero(np.isfinite(value) & (value <= least + 1e-9 * (1 + abs(least)))) if np.isfinite(least) else []
+            found += [(float(value[k]), int(net["station_id"][k]), float(x[k]), float(y[k])) for k in near]
+        places = {}
+        for f in sorted(found, key=lambda f: f[1]):
+            if f[0] <= least + 1e-9 * (1 + abs(least)):
+                places.setdefault(f[2:], f)
+        return list(places.values())
 
     def beside(edge, sign):
-        """The next corner on the left (sign 1) or right (-1) of the edge from the station."""
+        """The further corners of the polygon on the left (sign 1) or right (-1) of the edge, as seen from the edge on."""
         _, other, ex, ey = edge
 
         def reach(x, y):
@@ -45,23 +52,23 @@ def fan(blocks: list[dict], station, lat, lon) -> list[tuple[int, int]]:
             with np.errstate(divide="ignore", invalid="ignore"):
                 return np.where(side > 0, (x * (x - ex) + y * (y - ey)) / side, np.inf)
 
-        return scan(reach)
+        return sorted(scan(reach), key=lambda c: math.atan2(sign * (ex * c[3] - ey * c[2]), ex * c[2] + ey * c[3]))
 
-    first = scan(lambda x, y: x * x + y * y)
+    near = scan(lambda x, y: x * x + y * y)
     out = []
-    if first is None:
+    if not near:
         return out
-    edge, seen = first, {first[1]}
-    while (to := beside(edge, 1)) is not None:
-        out.append((edge[1], to[1]))
-        if to[1] in seen:
-            return out
-        seen.add(to[1])
-        edge = to
-    edge = first
-    while (to := beside(edge, -1)) is not None and (to[1], edge[1]) not in out:
-        out.append((to[1], edge[1]))
-        edge = to
+    first = min(near)
+    for sign in (1, -1):
+        edge, seen = first, {first[1]}
+        while ring := beside(edge, sign):
+            corners = [edge[1]] + [c[1] for c in ring]
+            if station < min(corners):
+                out += [(j, k) if sign > 0 else (k, j) for j, k in zip(corners, corners[1:])]
+            edge = ring[-1]
+            if edge[1] in seen:
+                return out
+            seen.add(edge[1])
     return out
 
 

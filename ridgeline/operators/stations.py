@@ -78,7 +78,7 @@ def triangles(net: DataFrame) -> DataFrame:
     """Delaunay triangles (i, j, k), counter-clockwise from the lowest station, by walking around every station.
 
     The nearest other station is joined to a station by an edge of the mesh.  From an edge, the next triangle on its left is the one
-    whose circle reaches least far along the edge's bisector.  The walk goes around until it is back or meets the hull, and then the
+    whose circle reaches least far along the edge's bisector; stations on one circle are fanned from the lowest of them.  The walk goes around until it is back or meets the hull, and then the
     other way.  A task walks around its own stations and scans the network once per triangle.
     """
     parts = blocks(net, "lat", "lon")

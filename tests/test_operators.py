@@ -264,3 +264,21 @@ def test_ladder_ends_in_the_straight_line(spark, sf):
     for speed, level in ((17.0, 2), (30.0, 4)):
         flown = mission.flight_ladder(asked, base, grid.withColumn("wind_speed", F.lit(speed)))
         assert {r["level"] for r in flown.select("level").collect()} == {level}
+
+
+@pytest.mark.parametrize("positions, area", [
+    ([(0, 0), (2, 0), (0, 1), (2, 1)], 2.0),
+    ([(127 + 0.1 * ((7 * k) % 20 % 5), 37 + 0.1 * ((7 * k) % 20 // 5)) for k in range(20)], 0.12),
+    ([(0, 0), (3, 4), (-3, 4), (5, 0), (0, 5), (-4, 3), (4, 3), (0, -5)], None)])
+def test_stations_on_one_circle_cover_their_hull(spark, positions, area):
+    net = spark.createDataFrame([(k + 1, float(y), float(x)) for k, (x, y) in enumerate(positions)], "station_id int, lat double, lon double")
+    total = 0.0
+    for r in stations.triangles(net).collect():
+        (ax, ay), (bx, by), (cx, cy) = (positions[n - 1] for n in (r.i, r.j, r.k))
+        turn = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+        assert turn > 0 and r.i < min(r.j, r.k)
+        total += turn / 2
+    if area is None:
+        hull = [(0, -5), (5, 0), (4, 3), (3, 4), (0, 5), (-3, 4), (-4, 3)]
+        area = sum(x * v - y * u for (x, y), (u, v) in zip(hull, hull[1:] + hull[:1])) / 2
+    assert total == pytest.approx(area)
