@@ -161,7 +161,16 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def with_language(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """The rows of docs whose text has a recognised language with a score of at least `least`; all columns stay as they are."""
+    """The rows of docs whose text has a recognised language with a score of at least `least`; all columns stay as they are.
+
+    Only the text goes to Python; the other columns wait in the JVM.
+    """
     found = profiles(docs.where(~held_out()).select("text", "lang"))
-    kept = predict(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "text"), found)
-    return kept.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        ranker = Ranker(found)
+        said = (ranker.predict(t) for _, part in text_slices(texts) for t in part.to_pylist())
+        return pa.array([-1.0 if lang == UNKNOWN else x for lang, x in said], pa.float64())
+
+    return docs.where(score("text") >= max(least, 0.0))

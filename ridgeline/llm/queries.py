@@ -5,7 +5,6 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from ridgeline.llm import oracles
 from ridgeline.llm.decontaminate import contaminated
 from ridgeline.llm.frames import encoded
@@ -87,5 +86,3 @@ def op7_repeated_passages(spark, sf_dir):
 def op1_pii_sanitisation(spark, sf_dir):
     return span_digests(table(spark, sf_dir, "documents"))
 
-
-QUERIES["pipeline"] = corpus_pipeline.run

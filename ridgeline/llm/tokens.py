@@ -15,7 +15,7 @@ from ridgeline.llm.words import span_hashes, text_runs
 
 END_ID = 0
 RUN = 2 << 20
-KEPT_CHUNKS = 2_000_000
+TABLE_BYTES = 48 << 20
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _VISIBLE = np.zeros(256, bool)
@@ -48,6 +48,7 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     cut = np.zeros(len(data) + 1, bool)
     if len(data) > 1:
         cut[:-2] = _BLANK[data[:-1]] & _VISIBLE[data[1:]]
+        cut[offsets[1:] - 1] = False  # what follows the last byte of a row is another row
         letter = _LETTER[data[:-1]]
         letter[1:] |= (data[:-2] == 0xC3) & _LATIN[data[1:-1]]
         cut[1:-1] |= letter & _MARK[data[1:]]
@@ -72,22 +73,99 @@ def _isolate(cut: np.ndarray, data: np.ndarray, offsets: np.ndarray, pattern: re
         at = end
 
 
-class Encoder:
+class ChunkEncoder:
+    """Ids of texts as the ids of their chunks in order; a subclass says where chunks start and encodes new ones.
+
+    Each distinct chunk is encoded once and kept with its bytes, in tables that are emptied beyond TABLE_BYTES.  A chunk is looked up
+    by hash and then compared byte by byte; one that shares its hash with another chunk is encoded by itself.
+    """
+
+    def __init__(self):
+        self._clear()
+
+    def _clear(self):
+        self.known = np.zeros(0, np.uint64)  # hashes in order, each with its place in the arrays below
+        self.slot, self.start, self.length, self.raw_start, self.raw_length = (np.zeros(0, np.int32) for _ in range(5))
+        self.pool, self.raw = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+
+    def _held(self) -> int:
+        return sum(x.nbytes for x in vars(self).values() if isinstance(x, np.ndarray))
+
+    def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where chunks start, one flag per byte; every row starts one."""
+        raise NotImplementedError
+
+    def ids_of(self, chunks: list[str]) -> list:
+        """Ids of chunks, whose bytes are given as Latin-1."""
+        raise NotImplementedError
+
+    def _add(self, chunks: list[str]) -> np.ndarray:
+        """Append chunks to the arrays; returns their places."""
+        ids = self.ids_of(chunks)
+        raw = np.frombuffer("".join(chunks).encode("latin-1"), np.uint8)
+        slots = len(self.start) + np.arange(len(chunks))
+        for start, length, pool, own, values in (("start", "length", "pool", ids, np.fromiter(chain.from_iterable(ids), np.uint32)),
+                                                 ("raw_start", "raw_length", "raw", chunks, raw)):
+            size = np.fromiter(map(len, own), np.int32, len(own))
+            at = len(getattr(self, pool)) + np.cumsum(size) - size
+            setattr(self, start, np.concatenate([getattr(self, start), at.astype(np.int32)]))
+            setattr(self, length, np.concatenate([getattr(self, length), size]))
+            setattr(self, pool, np.concatenate([getattr(self, pool), values]))
+        return slots
+
+    def _places(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The place of each chunk in the arrays."""
+        unique, sample, chunk = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.known, unique), max(len(self.known) - 1, 0))
+        new = self.known[at] != unique if len(self.known) else np.ones(len(unique), bool)
+        text = data.tobytes().decode("latin-1")
+        if new.any():
+            slots = self._add([text[starts[k]: ends[k]] for k in sample[new]])
+            at = np.searchsorted(self.known, unique[new])
+            self.known, self.slot = np.insert(self.known, at, unique[new]), np.insert(self.slot, at, slots)
+        place = self.slot[np.searchsorted(self.known, unique)][chunk]
+        length = ends - starts
+        odd = self.raw_length[place] != length
+        like = np.repeat(self.raw_start[place] - starts, length) + np.arange(len(data))
+        differs = self.raw[np.minimum(like, len(self.raw) - 1)] != data
+        odd[np.searchsorted(starts, np.flatnonzero(differs), "right") - 1] = True
+        if odd.any():
+            place[odd] = self._add([text[starts[k]: ends[k]] for k in np.flatnonzero(odd)])
+        return place
+
+    def encode(self, column, end: int | None = END_ID):
+        """(first row, ids, offsets of the rows and the end) for runs of rows; null counts as empty; end: an id after each row."""
+        for first, data, offsets in text_runs(column, limit=RUN):
+            if self._held() > TABLE_BYTES:
+                self._clear()
+            starts = np.flatnonzero(self.cuts(data, offsets))
+            place = self._places(data, starts, np.append(starts[1:], len(data))) if len(starts) else starts
+            length = self.length[place]
+            before = np.cumsum(length, dtype=np.int64) - length
+            ids = self.pool[np.arange(int(length.sum())) + np.repeat(self.start[place] - before, length)]
+            row_ends = np.append(before, len(ids))[np.searchsorted(starts, offsets)]
+            if end is not None:
+                ids, row_ends = np.insert(ids, row_ends[1:], end), row_ends + np.arange(len(offsets))
+            yield first, ids, row_ends
+
+
+class Encoder(ChunkEncoder):
+    """Byte-level BPE of the tokenizers library; added: its added tokens are found in texts."""
+
     def __init__(self, path: str, added: bool = False):
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not added
         tokens = sorted((t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.added = re.compile(b"|".join(map(re.escape, tokens))) if added and tokens else None
-        self._clear()
 
-    def _clear(self):
-        self.known = np.zeros(0, np.uint64)
-        self.start = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
+    def cuts(self, data, offsets):
+        cut = _cuts(data, offsets)
+        if self.added:
+            _isolate(cut, data, offsets, self.added)
+        return cut
 
-    def _learn(self, hashes, chunks):
-        """Encode new chunks (bytes as Latin-1); hashes are sorted and not known yet."""
+    def ids_of(self, chunks):
         ids, other, one = [], [], self.tokenizer.model.tokenize
         for k, chunk in enumerate(chunks):
             if _ONE_WORD(chunk):  # the word pattern has nothing to cut here: straight to the library's BPE model
@@ -98,43 +176,7 @@ class Encoder:
         rest = [chunks[k].encode("latin-1").decode("utf-8", "replace") for k in other]
         for k, e in zip(other, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             ids[k] = e.ids
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        start = len(self.pool) + np.cumsum(length) - length
-        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum()))])
-        at = np.searchsorted(self.known, hashes)
-        self.known = np.insert(self.known, at, hashes)
-        self.start = np.insert(self.start, at, start)
-        self.length = np.insert(self.length, at, length)
-
-    def encode(self, column):
-        """(first row, ids with END_ID after each row, offsets of the rows and the end) for runs of rows; null counts as empty."""
-        for first, data, offsets in text_runs(column, limit=RUN):
-            cut = _cuts(data, offsets)
-            if self.added:
-                _isolate(cut, data, offsets, self.added)
-            starts = np.flatnonzero(cut)
-            ends = np.append(starts[1:], len(data)) if len(starts) else starts
-            hashes = span_hashes(data, starts, ends)
-            unique, sample, chunk = np.unique(hashes, return_index=True, return_inverse=True)
-            if len(self.known) > KEPT_CHUNKS:
-                self._clear()
-            at = np.minimum(np.searchsorted(self.known, unique), max(len(self.known) - 1, 0))
-            new = self.known[at] != unique if len(self.known) else np.ones(len(unique), bool)
-            if new.any():
-                raw = data.tobytes().decode("latin-1")
-                self._learn(unique[new], [raw[starts[k]: ends[k]] for k in sample[new]])
-                at = np.searchsorted(self.known, unique)
-            length = self.length[at][chunk] if len(chunk) else np.zeros(0, np.int64)
-            before = np.cumsum(length) - length
-            place = np.arange(int(length.sum())) - np.repeat(before - self.start[at][chunk], length) if len(chunk) else before
-            ids = self.pool[place]
-            chunks_before = np.searchsorted(starts, offsets)
-            row_ends = np.append(before, len(ids))[chunks_before] + np.arange(len(offsets))
-            out = np.full(len(ids) + len(offsets) - 1, END_ID, np.uint32)
-            own = np.ones(len(out), bool)
-            own[row_ends[1:] - 1] = False
-            out[own] = ids
-            yield first, out, row_ends
+        return ids
 
 
 def encoder(path: str, added: bool = False) -> Encoder:

@@ -7,15 +7,16 @@ one text longer than that makes a run of its own.  A null text counts as empty.
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 RUN_BYTES = 1 << 20
 SLICE_ROWS = 1024
 SHINGLE = 5
+LONG_SPAN = 256
 _ODD = 0x9E3779B97F4A7C15
-_BASE = np.uint64(0xD6E8FEB86659FD93)
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k bytes of a block
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_powers = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,17 +31,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2^64, for n positions at least."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, 2 * RUN_BYTES)
-        for name, base in (("up", int(_BASE)), ("down", pow(int(_BASE), -1, 1 << 64))):
-            steps = np.full(size, np.uint64(base))
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
-
-
 def arrow_texts(column, lower: bool = False) -> pa.Array:
     """The column as large strings without nulls."""
     if isinstance(column, pa.ChunkedArray):
@@ -77,11 +67,24 @@ def runs(column: pa.Array, limit: int = RUN_BYTES):
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span data[start:end]; equal bytes give equal hashes wherever they stand."""
-    up, down = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    """64-bit hash of each byte span data[start:end]; equal bytes give equal hashes wherever they stand.
+
+    Blocks of eight bytes are mixed in one after the other, all spans at once; a span of over LONG_SPAN bytes is hashed by itself.
+    """
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    block_at = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    length = ends - starts
+    out = mix(length.astype(np.uint64))
+    step, live = 0, np.flatnonzero((length > 0) & (length <= LONG_SPAN))
+    while len(live):
+        block = block_at[starts[live] + step] & _KEEP[np.minimum(length[live] - step, 8)]
+        out[live] = mix(out[live] ^ block)
+        step += 8
+        live = live[length[live] > step]
+    for k in np.flatnonzero(length > LONG_SPAN):
+        out[k] = xxhash.xxh3_64_intdigest(padded[starts[k]: ends[k]].tobytes())
+    return out
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -157,6 +157,43 @@ def test_added_tokens_are_those_of_the_library(texts):
     assert got == [ids_of(untouched, t) for t in texts]
 
 
+ENDS = ["", " ", "  ", "\n", "\n\n", "\t\n", " \n \n", "a", "a\n\n", "b", "'s", ".", "é", "1  ", "\u3000", "日", "<|endoftext|>"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(ENDS), max_size=4).map("".join), min_size=2, max_size=12), st.randoms())
+def test_ids_do_not_depend_on_the_rows_beside(texts, random):
+    untouched = Tokenizer.from_file(PATH)
+    encoder = Encoder(PATH, added=True)
+    for _ in range(3):
+        random.shuffle(texts)
+        got = [ids[ends[k]: ends[k + 1]].tolist() for _, ids, ends in encoder.encode(pa.array(texts, pa.string())) for k in range(len(ends) - 1)]
+        assert got == [ids_of(untouched, t) for t in texts]
+
+
+def test_chunks_with_one_hash_are_told_apart(monkeypatch):
+    """Thue-Morse words, which defeat polynomial hashes, and then a hash that is the same for every chunk."""
+    untouched, swap = Tokenizer.from_file(PATH), str.maketrans("ab", "ba")
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(swap)
+    texts = [word, word.translate(swap), "some words here", " some words", "here here"]
+    for same in (False, True):
+        if same:
+            monkeypatch.setattr("ridgeline.llm.tokens.span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+        got = [ids[ends[k]: ends[k + 1]].tolist() for _, ids, ends in Encoder(PATH).encode(pa.array(texts, pa.string())) for k in range(len(ends) - 1)]
+        assert got == [ids_of(untouched, t) for t in texts]
+
+
+def test_tables_are_emptied(monkeypatch):
+    untouched, texts = Tokenizer.from_file(PATH), [f"word{k} and  other{k}\n\n" for k in range(3000)]
+    monkeypatch.setattr("ridgeline.llm.tokens.TABLE_BYTES", 20_000)
+    monkeypatch.setattr("ridgeline.llm.tokens.RUN", 5_000)
+    encoder = Encoder(PATH)
+    got = [ids[ends[k]: ends[k + 1]].tolist() for _, ids, ends in encoder.encode(pa.array(texts)) for k in range(len(ends) - 1)]
+    assert got == [ids_of(untouched, t) for t in texts] and len(encoder.known) < 1500
+
+
 def test_queries_find_added_tokens(spark, tmp_path):
     from ridgeline.llm.queries import QUERIES
 
