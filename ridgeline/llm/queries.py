@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ridgeline.llm import oracles
+from ridgeline.llm.align import alignment_digests
 from ridgeline.llm.decontaminate import contaminated
 from ridgeline.llm.frames import encoded
 from ridgeline.llm.language import identified
 from ridgeline.llm.neardup import near_duplicates
+from ridgeline.llm.ngramjoin import similar_documents
 from ridgeline.llm.packing import packed
 from ridgeline.llm.passages import repeated_passages
 from ridgeline.llm.pii import span_digests
@@ -21,6 +23,7 @@ from ridgeline.session import importable_in_tasks
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {"op1_pii_sanitisation": oracles.PII, "op2_warc_captures": oracles.WARC, "op6_top_k": oracles.TOP_K}
 VOCABULARY = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,3 +89,12 @@ def op7_repeated_passages(spark, sf_dir):
 def op1_pii_sanitisation(spark, sf_dir):
     return span_digests(table(spark, sf_dir, "documents"))
 
+
+@query
+def op13_token_alignment(spark, sf_dir):
+    return alignment_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.path(PIECES))
+
+
+@query
+def op11_ngram_join(spark, sf_dir):
+    return similar_documents(table(spark, sf_dir, "documents"))

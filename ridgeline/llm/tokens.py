@@ -33,14 +33,14 @@ _encoders = {}
 _ONE_WORD = re.compile(" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 
 
-def _byte_symbols() -> dict[int, str]:
+def byte_symbols() -> dict[int, str]:
     """The symbol that byte-level BPE shows for each byte: printable bytes as they are, others from 256 on in order."""
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
     others = iter(range(256, 512))
     return {b: chr(b if b in printable else next(others)) for b in range(256)}
 
 
-_SYMBOLS = _byte_symbols()
+_SYMBOLS = byte_symbols()
 
 
 def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -133,20 +133,22 @@ class ChunkEncoder:
             place[odd] = self._add([text[starts[k]: ends[k]] for k in np.flatnonzero(odd)])
         return place
 
-    def encode(self, column, end: int | None = END_ID):
-        """(first row, ids, offsets of the rows and the end) for runs of rows; null counts as empty; end: an id after each row."""
+    def encode_run(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the rows of a run and the offsets of the rows and the end."""
+        if self._held() > TABLE_BYTES:
+            self._clear()
+        starts = np.flatnonzero(self.cuts(data, offsets))
+        place = self._places(data, starts, np.append(starts[1:], len(data))) if len(starts) else starts
+        length = self.length[place]
+        before = np.cumsum(length, dtype=np.int64) - length
+        ids = self.pool[np.arange(int(length.sum())) + np.repeat(self.start[place] - before, length)]
+        return ids, np.append(before, len(ids))[np.searchsorted(starts, offsets)]
+
+    def encode(self, column):
+        """(first row, ids with END_ID after each row, offsets of the rows and the end) for runs of rows; null counts as empty."""
         for first, data, offsets in text_runs(column, limit=RUN):
-            if self._held() > TABLE_BYTES:
-                self._clear()
-            starts = np.flatnonzero(self.cuts(data, offsets))
-            place = self._places(data, starts, np.append(starts[1:], len(data))) if len(starts) else starts
-            length = self.length[place]
-            before = np.cumsum(length, dtype=np.int64) - length
-            ids = self.pool[np.arange(int(length.sum())) + np.repeat(self.start[place] - before, length)]
-            row_ends = np.append(before, len(ids))[np.searchsorted(starts, offsets)]
-            if end is not None:
-                ids, row_ends = np.insert(ids, row_ends[1:], end), row_ends + np.arange(len(offsets))
-            yield first, ids, row_ends
+            ids, row_ends = self.encode_run(data, offsets)
+            yield first, np.insert(ids, row_ends[1:], END_ID), row_ends + np.arange(len(offsets))
 
 
 class Encoder(ChunkEncoder):

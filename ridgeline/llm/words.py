@@ -31,21 +31,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def arrow_texts(column, lower: bool = False) -> pa.Array:
-    """The column as large strings without nulls."""
+def arrow_texts(column, lower: bool | str = False) -> pa.Array:
+    """The column as large strings without nulls; lower: in lower case, "ascii" for A to Z only."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column.cast(pa.large_string()), "")
+    if lower == "ascii":
+        return pc.ascii_lower(column)
     return pc.utf8_lower(column) if lower else column
 
 
-def text_slices(column, lower: bool = False):
+def text_slices(column, lower: bool | str = False):
     """(first row, texts as large strings without nulls) for a few rows of a batch at a time, so that no copy of the batch is made."""
     for first in range(0, len(column), SLICE_ROWS):
         yield first, arrow_texts(column.slice(first, SLICE_ROWS), lower)
 
 
-def text_runs(column, lower: bool = False, limit: int | None = None):
+def text_runs(column, lower: bool | str = False, limit: int | None = None):
     """runs of all slices of a column, with rows counted from its start."""
     for base, texts in text_slices(column, lower):
         for first, data, offsets in runs(texts, limit or RUN_BYTES):
@@ -87,13 +89,13 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, alphabet: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and for each row the index of its first word (plus the total).
 
-    A word is a run of ASCII letters and digits and of any non-ASCII characters.
+    A word is a run of bytes of the alphabet, by default of ASCII letters and digits and of any non-ASCII characters.
     """
     n = len(data)
-    inside = _WORD[data]
+    inside = alphabet[data]
     before = np.zeros(n, bool)
     before[1:] = inside[:-1]
     cuts = offsets[(offsets > 0) & (offsets < n)]
@@ -116,13 +118,13 @@ def shingle_hashes(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return mix(total)
 
 
-def shingle_runs(column, size: int = SHINGLE, lower: bool = True):
+def shingle_runs(column, size: int = SHINGLE, lower: bool | str = True, alphabet: np.ndarray = _WORD):
     """For runs of rows: (first row, offsets of the rows' words, word hashes, offsets of the rows' shingles, shingle hashes).
 
     Shingles are those of shingle_hashes, for all rows of a run at once.
     """
     for first, data, offsets in text_runs(column, lower):
-        starts, ends, bounds = word_spans(data, offsets)
+        starts, ends, bounds = word_spans(data, offsets, alphabet)
         words = span_hashes(data, starts, ends)
         count = np.diff(bounds)
         total = np.zeros(max(len(words) - size + 1, 0), np.uint64)
