@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.components import components
-from ridgeline.llm.words import mix, shingle_runs
+from ridgeline.llm.words import mix, shingle_runs, slices
 from ridgeline.session import staged
 
 SHINGLE, PERCENT = 4, 85
@@ -122,24 +122,22 @@ def _index(batches, levels, size, percent):
 
 def _linked(batches, size, percent):
     """Pairs of texts with the similarity, by their whole sets."""
-    for whole in batches:
-        for at in range(0, len(whole), VERIFY_ROWS):
-            batch = whole.slice(at, VERIFY_ROWS)
-            sides = []
-            for column in ("text_a", "text_b"):
-                sets = []
-                for _, ends, hashes in _shingles(batch.column(column), size):
-                    bounds, own = _sets(ends, hashes)
-                    sets += [own[bounds[k]: bounds[k + 1]] for k in range(len(bounds) - 1)]
-                sides.append(sets)
-            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sides)], np.int64)
-            union = np.array([len(x) + len(y) for x, y in zip(*sides)], np.int64) - both
-            yield batch.select(["a", "b"]).filter(pa.array((100 * both >= percent * union) & (both > 0)))
+    for batch in slices(batches, VERIFY_ROWS):
+        sides = []
+        for column in ("text_a", "text_b"):
+            sets = []
+            for _, ends, hashes in _shingles(batch.column(column), size):
+                bounds, own = _sets(ends, hashes)
+                sets += [own[bounds[k]: bounds[k + 1]] for k in range(len(bounds) - 1)]
+            sides.append(sets)
+        both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sides)], np.int64)
+        union = np.array([len(x) + len(y) for x, y in zip(*sides)], np.int64) - both
+        yield batch.select(["a", "b"]).filter(pa.array((100 * both >= percent * union) & (both > 0)))
 
 
 def _meet(batches, percent):
     """Pairs of a block with another whose prefixes meet under both hash orders, sizes and components allowing."""
-    for batch in batches:
+    for batch in slices(batches, 1):
         out = {"a": [], "b": []}
         for row in batch.to_pylist():
             left, right = row["left"], row["right"]

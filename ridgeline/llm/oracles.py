@@ -67,3 +67,33 @@ c AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, list_dot_product(a.v, b.v) AS s
       FROM v AS a JOIN v AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
 r AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY s DESC, b_id) AS n FROM c)
 SELECT a_id AS query_id, CAST(n AS INTEGER) AS rank, b_id AS vec_id, CAST(s AS BIGINT) AS score FROM r WHERE n <= 10"""
+
+
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+NGRAM_JOIN = rf"""
+WITH RECURSIVE numbered AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT r, doc_id, coalesce(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' ')) END), []) AS s FROM numbered),
+shingles AS (SELECT r, doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (SELECT a.doc_id AS i, b.doc_id AS j FROM shingles a JOIN shingles b ON a.x = b.x AND a.r <> b.r
+    GROUP BY a.r, a.doc_id, b.r, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach(i, j) AS (SELECT i, j FROM (SELECT DISTINCT i, j FROM links) UNION SELECT reach.i, l.j FROM reach JOIN (SELECT DISTINCT i, j FROM links) l ON reach.j = l.i)
+SELECT s.doc_id, len(s) AS n_shingles, least(s.doc_id, coalesce(low, s.doc_id)) AS component_id
+FROM sets s LEFT JOIN (SELECT i, min(j) AS low FROM reach GROUP BY i) m ON m.i = s.doc_id"""
+
+TERMS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+LEXICAL_SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {TERMS} AS t FROM documents),
+size AS (SELECT count(*) FILTER (len(t) > 0) AS nn, CAST(sum(len(t)) AS BIGINT) AS ll FROM d),
+occ AS (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM occ GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+asked AS (SELECT DISTINCT p, item_id, term FROM (
+  SELECT p, item_id, unnest(t) AS term FROM (SELECT row_number() OVER () AS p, item_id, {TERMS} AS t FROM benchmark))),
+scored AS (SELECT p, item_id, doc_id, r, CAST(sum(CAST(floor(1000 * ln((2 * nn + 2) / (2 * df + 1))) AS BIGINT)
+    * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll)))) AS BIGINT) AS score
+  FROM asked JOIN df USING (term) JOIN tf USING (term), size GROUP BY p, item_id, doc_id, r),
+placed AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0 AND doc_id IS NOT NULL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM placed WHERE rank <= 50"""

@@ -10,6 +10,7 @@ from ridgeline.llm.align import alignment_digests
 from ridgeline.llm.decontaminate import contaminated
 from ridgeline.llm.frames import encoded
 from ridgeline.llm.language import identified
+from ridgeline.llm.lexical import ranked
 from ridgeline.llm.neardup import near_duplicates
 from ridgeline.llm.ngramjoin import similar_documents
 from ridgeline.llm.packing import packed
@@ -21,7 +22,8 @@ from ridgeline.llm.warc import page_digests
 from ridgeline.session import importable_in_tasks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op1_pii_sanitisation": oracles.PII, "op2_warc_captures": oracles.WARC, "op6_top_k": oracles.TOP_K}
+ORACLES: dict[str, str] = {"op1_pii_sanitisation": oracles.PII, "op2_warc_captures": oracles.WARC, "op6_top_k": oracles.TOP_K,
+                           "op11_ngram_join": oracles.NGRAM_JOIN, "op12_lexical_search": oracles.LEXICAL_SEARCH}
 VOCABULARY = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 
@@ -98,3 +100,8 @@ def op13_token_alignment(spark, sf_dir):
 @query
 def op11_ngram_join(spark, sf_dir):
     return similar_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_lexical_search(spark, sf_dir):
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -41,6 +41,13 @@ def arrow_texts(column, lower: bool | str = False) -> pa.Array:
     return pc.utf8_lower(column) if lower else column
 
 
+def slices(batches, rows: int):
+    """A few rows of each batch at a time."""
+    for batch in batches:
+        for first in range(0, len(batch), rows):
+            yield batch.slice(first, rows)
+
+
 def text_slices(column, lower: bool | str = False):
     """(first row, texts as large strings without nulls) for a few rows of a batch at a time, so that no copy of the batch is made."""
     for first in range(0, len(column), SLICE_ROWS):
