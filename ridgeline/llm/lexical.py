@@ -48,11 +48,11 @@ def _terms(column):
         yield first, np.diff(bounds), row[at], term[at].view(np.int64), np.diff(np.append(at, len(row)))
 
 
-def _coordinate(term: np.ndarray) -> np.ndarray:
-    return term.view(np.uint64) % np.uint64(COORDINATES)
+def _coordinate(term: np.ndarray, coordinates: int) -> np.ndarray:
+    return term.view(np.uint64) % np.uint64(coordinates)
 
 
-def _index(batches):
+def _index(batches, width):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("coordinates", pa.binary()), ("maxima", pa.binary()),
                         ("terms", pa.list_(pa.int64())), ("holders", pa.list_(pa.int64()))])
 
@@ -67,13 +67,13 @@ def _index(batches):
             own, count = np.unique(term, return_counts=True)
             held, at = np.unique(np.concatenate([held, own]), return_inverse=True)
             holders = np.bincount(at, np.concatenate([holders, count]), len(held)).astype(np.int64)
-            place = row.astype(np.uint64) * np.uint64(COORDINATES) + _coordinate(term)
+            place = row.astype(np.uint64) * np.uint64(width) + _coordinate(term, width)
             order = np.argsort(place, kind="stable")
             place, tops = place[order], np.minimum(times[order], MOST).astype(np.uint8)
             at = np.flatnonzero(np.diff(place, prepend=place[:1] - np.uint64(1)) != 0) if len(place) else np.zeros(0, np.int64)
             tops = np.maximum.reduceat(tops, at) if len(at) else tops
-            cut = np.searchsorted(place[at], np.arange(len(n) + 1, dtype=np.uint64) * np.uint64(COORDINATES))
-            coordinates = (place[at] % np.uint64(COORDINATES)).astype("<u2")
+            cut = np.searchsorted(place[at], np.arange(len(n) + 1, dtype=np.uint64) * np.uint64(width))
+            coordinates = (place[at] % np.uint64(width)).astype("<u2")
             none = pa.nulls(len(n), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(first, len(n)), pa.array(n, pa.int64()),
@@ -113,15 +113,15 @@ class Corpus:
 class Block:
     """Term entries of some items: distinct terms and coordinates with the ranges of their entries."""
 
-    def __init__(self, entries: list[tuple[int, int, int]], corpus: Corpus):
+    def __init__(self, entries: list[tuple[int, int, int]], corpus: Corpus, coordinates: int):
         places, term, weight = (np.array([e[k] for e in entries], np.int64) for k in range(3))
         self.places, item = np.unique(places, return_inverse=True)
         by = np.argsort(term, kind="stable")
         self.terms, start = np.unique(term[by], return_index=True)
         self.of_term = (np.append(start, len(by)), item[by], weight[by])
-        coordinate = _coordinate(term).astype(np.int64)
+        coordinate = _coordinate(term, coordinates).astype(np.int64)
         by = np.argsort(coordinate, kind="stable")
-        self.of_coordinate = (np.searchsorted(coordinate[by], np.arange(COORDINATES + 1)), item[by], weight[by])
+        self.of_coordinate = (np.searchsorted(coordinate[by], np.arange(coordinates + 1)), item[by], weight[by])
         self.corpus = corpus
 
     def _sums(self, rows: int, row, at, impact, entries) -> np.ndarray:
@@ -211,9 +211,9 @@ def _thresholds(scored: DataFrame, k: int, items: int) -> np.ndarray:
     return out
 
 
-def index(docs: DataFrame) -> DataFrame:
+def index(docs: DataFrame, coordinates: int = COORDINATES) -> DataFrame:
     """Sketches of docs(doc_id, text), and in rows without n the number of holders of terms, per task."""
-    return docs.mapInArrow(_index, INDEX)
+    return docs.mapInArrow(partial(_index, width=coordinates), INDEX)
 
 
 def search(docs: DataFrame, sketches: DataFrame, block: Block, k: int = K) -> DataFrame:
@@ -238,27 +238,27 @@ def search(docs: DataFrame, sketches: DataFrame, block: Block, k: int = K) -> Da
     return _first(scored, k, F.desc("score"), "doc_id")
 
 
-def _blocks(weighted: DataFrame, corpus: Corpus):
+def _blocks(weighted: DataFrame, corpus: Corpus, coordinates: int):
     """Blocks of whole items, read one after the other."""
     entries = []
     for r in weighted.orderBy("place").toLocalIterator():
         if len(entries) >= BLOCK_TERMS and r["place"] != entries[-1][0]:
-            yield Block(entries, corpus)
+            yield Block(entries, corpus, coordinates)
             entries = []
         entries.append((r["place"], r["term"], corpus.weight(r["holders"])))
     if entries:
-        yield Block(entries, corpus)
+        yield Block(entries, corpus, coordinates)
 
 
-def ranked(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
+def ranked(docs: DataFrame, items: DataFrame, k: int = K, coordinates: int = COORDINATES) -> DataFrame:
     """(item_id, rank, doc_id, score): for each row of items(item_id, text) its k best rows of docs(doc_id, text, ...).
 
     Best first, equal scores by ascending doc_id; only scores above 0.  Texts that are null or without terms take no part.  Rows of docs
     without an id count in the statistics and are not returned; repeated rows are documents of their own, as are repeated items.  Other
-    columns are not read; without documents or items the result is empty.
+    columns are not read; without documents or items the result is empty.  coordinates: at most COORDINATES; fewer make looser bounds.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = staged(index(docs))
+    made = staged(index(docs, coordinates))
     stats = made.where("n > 0").agg(F.count("*").alias("documents"), F.sum("n").alias("terms")).first()
     corpus = Corpus(stats["documents"], stats["terms"] or 0)
     holders = (made.where("terms is not null").select(F.explode(F.arrays_zip("terms", "holders")).alias("_t"))
@@ -267,7 +267,7 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
     weighted = staged(asked.select("place", "text").mapInArrow(_item_terms, "place long, term long").join(holders, "term"))
     sketches = made.where("n > 0 and doc_id is not null").select("doc_id", "n", "coordinates", "maxima")
     out = asked.select(F.col("place"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("score")).limit(0)
-    for block in _blocks(weighted, corpus):
+    for block in _blocks(weighted, corpus, coordinates):
         of_item = docs.sparkSession.createDataFrame(list(enumerate(block.places.tolist())), "item int, place long")
         out = out.unionByName(staged(search(docs, sketches, block, k).join(F.broadcast(of_item), "item").select("place", "rank", "doc_id", "score")))
     return out.join(asked.select("place", "item_id"), "place").select("item_id", "rank", "doc_id", "score")

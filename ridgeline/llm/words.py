@@ -15,6 +15,8 @@ SHINGLE = 5
 LONG_SPAN = 256
 _ODD = 0x9E3779B97F4A7C15
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k bytes of a block
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -31,13 +33,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def arrow_texts(column, lower: bool | str = False) -> pa.Array:
-    """The column as large strings without nulls; lower: in lower case, "ascii" for A to Z only."""
+def arrow_texts(column, lower: bool = False) -> pa.Array:
+    """The column as large strings without nulls."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column.cast(pa.large_string()), "")
-    if lower == "ascii":
-        return pc.ascii_lower(column)
     return pc.utf8_lower(column) if lower else column
 
 
@@ -48,17 +48,17 @@ def slices(batches, rows: int):
             yield batch.slice(first, rows)
 
 
-def text_slices(column, lower: bool | str = False):
+def text_slices(column, lower: bool = False):
     """(first row, texts as large strings without nulls) for a few rows of a batch at a time, so that no copy of the batch is made."""
     for first in range(0, len(column), SLICE_ROWS):
         yield first, arrow_texts(column.slice(first, SLICE_ROWS), lower)
 
 
 def text_runs(column, lower: bool | str = False, limit: int | None = None):
-    """runs of all slices of a column, with rows counted from its start."""
-    for base, texts in text_slices(column, lower):
+    """runs of all slices of a column, with rows counted from its start; lower: in lower case, "ascii" for A to Z only."""
+    for base, texts in text_slices(column, lower is True):
         for first, data, offsets in runs(texts, limit or RUN_BYTES):
-            yield base + first, data, offsets
+            yield base + first, _LOWER[data] if lower == "ascii" else data, offsets
 
 
 def runs(column: pa.Array, limit: int = RUN_BYTES):

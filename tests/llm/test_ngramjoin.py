@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from ridgeline.llm import ngramjoin
@@ -87,5 +89,15 @@ def test_query(spark, sf):
     assert found(QUERIES["op11_ngram_join"](spark, sf)) == want and any(i != c for i, _, c in want)
 
 
+def test_batches_of_many_rows():
+    """Shingles of every row of a long batch, whole and sliced."""
+    texts = pa.array([None if k % 97 == 0 else f"Word{k} TWO Ä{k % 7} four\x0bfive {k}" for k in range(3000)])
+    for column in (texts, texts.slice(1500), texts.slice(700, 1800)):
+        sizes = [n for _, ends, hashes in ngramjoin._shingles(column, 4) for n in np.diff(ngramjoin._sets(ends, hashes)[0])]
+        assert sizes == [len(shingles(t)) for t in column.to_pylist()]
+        distinct = {h for _, _, hashes in ngramjoin._shingles(column, 4) for h in hashes.tolist()}
+        assert len(distinct) == len({x for t in column.to_pylist() for x in shingles(t)})
+
+
 def test_no_documents(documents):
     assert ngramjoin.similar_documents(documents([])).count() == 0
