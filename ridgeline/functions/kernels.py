@@ -1,4 +1,4 @@
-"""Array formulas for one Arrow batch of cells against a small station network."""
+"""Array formulas for a block of cells against a block of stations."""
 
 import math
 
@@ -8,117 +8,25 @@ import pandas as pd
 from ridgeline import params as P
 
 
-def nearest(blocks: list[dict], lat, lon) -> dict:
-    """Station, ws and wd of the nearest station in squared degrees; the first of equals, station -1 if there is none."""
-    best = np.full(len(lat), np.inf)
-    out = {"station_id": np.full(len(lat), -1), "ws": np.full(len(lat), np.nan), "wd": np.full(len(lat), np.nan)}
-    for net in blocks:
-        for i, (y, x) in enumerate(zip(net["lat"], net["lon"])):
-            d = (y - lat) * (y - lat) + (x - lon) * (x - lon)
-            closer = d < best
-            best[closer] = d[closer]
-            for name, held in out.items():
-                held[closer] = net[name][i]
-    return out
+VALUES = ("ws", "u", "v", "elev")
+SUMS = tuple(f"{k}_{where}" for where in ("far", "here") for k in ("n", *VALUES))
 
 
-def fan(blocks: list[dict], station, lat, lon) -> list[tuple[int, int]]:
-    """The other two corners of the Delaunay triangles whose lowest station is the given one, counter-clockwise.
-
-    Stations on one circle without another inside make a polygon, which is fanned from its lowest station, whoever walks past it.
-    """
-    def scan(score):
-        """(score, station, x, y) of all stations at the least score, up to rounding; of stations in one place the lowest."""
-        least, found = np.inf, []
-        for net in blocks:
-            x, y = net["lon"] - lon, net["lat"] - lat
-            value = score(x, y)
-            value[(net["station_id"] == station) | ((x == 0) & (y == 0)) | np.isnan(value)] = np.inf
-            least = min(least, value.min(initial=np.inf))
-            near = np.flatnonzero(np.isfinite(value) & (value <= least + 1e-9 * (1 + abs(least)))) if np.isfinite(least) else []
-            found += [(float(value[k]), int(net["station_id"][k]), float(x[k]), float(y[k])) for k in near]
-        places = {}
-        for f in sorted(found, key=lambda f: f[1]):
-            if f[0] <= least + 1e-9 * (1 + abs(least)):
-                places.setdefault(f[2:], f)
-        return list(places.values())
-
-    def beside(edge, sign):
-        """The further corners of the polygon on the left (sign 1) or right (-1) of the edge, as seen from the edge on."""
-        _, other, ex, ey = edge
-
-        def reach(x, y):
-            side = sign * (ex * y - ey * x)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                return np.where(side > 0, (x * (x - ex) + y * (y - ey)) / side, np.inf)
-
-        return sorted(scan(reach), key=lambda c: math.atan2(sign * (ex * c[3] - ey * c[2]), ex * c[2] + ey * c[3]))
-
-    near = scan(lambda x, y: x * x + y * y)
-    out = []
-    if not near:
-        return out
-    first = min(near)
-    for sign in (1, -1):
-        edge, seen = first, {first[1]}
-        while ring := beside(edge, sign):
-            corners = [edge[1]] + [c[1] for c in ring]
-            if station < min(corners):
-                out += [(j, k) if sign > 0 else (k, j) for j, k in zip(corners, corners[1:])]
-            edge = ring[-1]
-            if edge[1] in seen:
-                return out
-            seen.add(edge[1])
-    return out
-
-
-def weighted_means(blocks: list[dict], lat, lon, elev) -> dict:
-    """Inverse-distance means of ws, u, v and elev with the vertical counted many times."""
+def weighted_sums(cells: pd.DataFrame, net: pd.DataFrame, shrink: float) -> pd.DataFrame:
+    """Inverse-distance weights (n_far) and weighted sums of cells over stations, the vertical counted many times; stations at a cell's
+    own place are counted and summed apart (_here)."""
     degree_m = math.pi / 180.0 * P.EARTH_RADIUS_M
-    stations = sum(len(net["lat"]) for net in blocks)
-    shrink = math.cos(math.radians(sum(float(net["lat"].sum()) for net in blocks) / max(1, stations)))
-    sums = {k: np.zeros(len(lat)) for k in ("w", "ws", "u", "v", "elev")}
-    exact = {k: np.zeros(len(lat)) for k in sums}
-    for net, i in ((net, i) for net in blocks for i in range(len(net["lat"]))):
-        dy = (net["lat"][i] - lat) * degree_m
-        dx = (net["lon"][i] - lon) * degree_m * shrink
-        dz = (net["elev"][i] - elev) * P.IDW_VERTICAL_SCALE
+    lat, lon, elev = (cells[c].to_numpy(float) for c in ("latitude", "longitude", "elevation"))
+    sums = {k: np.zeros(len(cells)) for k in SUMS}
+    for s in net.sort_values("station_id").itertuples():
+        dy = (s.lat - lat) * degree_m
+        dx = (s.lon - lon) * degree_m * shrink
+        dz = (s.elev - elev) * P.IDW_VERTICAL_SCALE
         square = dx * dx + dy * dy + dz * dz
         same = square < P.IDW_ZERO_M ** 2
-        weight = np.where(same, 0.0, np.power(np.where(same, 1.0, square), -P.IDW_POWER / 2))
-        for totals, factor in ((sums, weight), (exact, same.astype(float))):
-            totals["w"] += factor
-            for k in ("ws", "u", "v", "elev"):
-                totals[k] += factor * net[k][i]
-    hit = exact["w"] > 0
-    with np.errstate(invalid="ignore"):
-        return {k: np.where(hit, exact[k], sums[k]) / np.where(hit, exact["w"], sums["w"]) for k in sums if k != "w"}
-
-
-def inside_triangles(mesh: list, lat, lon, values) -> pd.DataFrame:
-    """Linear values from the first triangle that contains each point; missing outside all.
-
-    Points are sorted by latitude, so a triangle is tried on the points of its own band only.
-    """
-    order = np.argsort(lat, kind="stable")
-    y, x = lat[order], lon[order]
-    out = {v: np.full(len(y), np.nan) for v in values}
-    open_rows = np.ones(len(y), dtype=bool)
-    for a, b, c in mesh:
-        low, high = (f(p["lat"] for p in (a, b, c)) for f in (min, max))
-        band = slice(*np.searchsorted(y, [low - 1e-6 * (1 + high - low), high + 1e-6 * (1 + high - low)]))
-        if band.start >= band.stop:
-            continue
-        py, px = y[band], x[band]
-        det = (b["lat"] - c["lat"]) * (a["lon"] - c["lon"]) + (c["lon"] - b["lon"]) * (a["lat"] - c["lat"])
-        wa = ((b["lat"] - c["lat"]) * (px - c["lon"]) + (c["lon"] - b["lon"]) * (py - c["lat"])) / det
-        wb = ((c["lat"] - a["lat"]) * (px - c["lon"]) + (a["lon"] - c["lon"]) * (py - c["lat"])) / det
-        wc = 1 - wa - wb
-        hit = open_rows[band] & (wa >= -1e-9) & (wb >= -1e-9) & (wc >= -1e-9)
-        for v in values:
-            out[v][band][hit] = (wa * a[v] + wb * b[v] + wc * c[v])[hit]
-        open_rows[band] &= ~hit
-    back = np.empty(len(order), dtype=int)
-    back[order] = np.arange(len(order))
-    # a missing value must reach Spark as null, not as NaN
-    return pd.DataFrame({v: pd.Series(z[back], dtype="Float64").mask(np.isnan(z[back])) for v, z in out.items()})
+        far = np.where(same, 0.0, np.power(np.where(same, 1.0, square), -P.IDW_POWER / 2))
+        for where, factor in (("far", far), ("here", same.astype(float))):
+            sums[f"n_{where}"] += factor
+            for k in VALUES:
+                sums[f"{k}_{where}"] += factor * getattr(s, k)
+    return pd.DataFrame({"cell_id": cells["cell_id"].to_numpy(), **sums})

@@ -11,7 +11,9 @@ from pyspark.sql import Window as W
 
 from ridgeline import params as P
 from ridgeline.functions import geo
+from ridgeline.operators import mesh, spatial
 from ridgeline.operators.tiles import tiled, untiled
+from ridgeline.session import staged
 
 KEYS = ("grid_id",)
 
@@ -107,48 +109,27 @@ def forest_layer(cells: DataFrame, ratio: str | None = "density_ratio", forest:
 
 
 def scatter_to_grid(points: DataFrame, n: int, keys=KEYS) -> DataFrame:
-    """Scattered samples to an n x n grid per key: mean elevation per cell, then fill.
+    """Scattered samples to an n x n grid per key: elevation linear in the triangles of the samples, density of the nearest sample.
 
-    Empty cells take the mean of the nearest filled ring up to three cells
-    away, then the mean of the grid.  This approximates linear interpolation
-    without a global triangulation.
+    points: keys, cell_id, latitude, longitude, elevation, density_ratio; of samples in one place the lowest cell_id counts.  The grid
+    spans the samples.  Grid cells outside the triangles take the mean of the interpolated ones of their key, or of the samples if no
+    triangle exists.  Rows run with longitude.
     """
-    b = points.groupBy(*keys).agg(
-        F.min("latitude").alias("lat0"), F.max("latitude").alias("lat1"),
-        F.min("longitude").alias("lon0"), F.max("longitude").alias("lon1"),
-        F.avg("elevation").alias("_mean"), F.avg("density_ratio").alias("_mean_density"))
-    lat_step = (F.col("lat1") - F.col("lat0")) / (n - 1)
-    lon_step = (F.col("lon1") - F.col("lon0")) / (n - 1)
-    placed = points.join(b, list(keys)).select(
-        *keys, "elevation", "density_ratio",
-        F.coalesce(F.floor(F.try_divide(F.col("longitude") - F.col("lon0"), lon_step) + 0.5), F.lit(0))
-        .cast("int").alias("row"),
-        F.coalesce(F.floor(F.try_divide(F.col("latitude") - F.col("lat0"), lat_step) + 0.5), F.lit(0))
-        .cast("int").alias("col"))
-    means = placed.groupBy(*keys, "row", "col").agg(
-        F.avg("elevation").alias("elevation"), F.avg("density_ratio").alias("density_ratio"))
-    frame = (b.select(*keys, "_mean", "_mean_density", "lat0", "lon0",
-                      lat_step.alias("lat_step"), lon_step.alias("lon_step"),
-                      F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("row"))
-             .withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))))
-    grid = frame.join(means, [*keys, "row", "col"], "left")
-    t = tiled(grid, 3, keys)
-
-    def ring(value, reach, tag):
-        rows, cols = _axis("row", keys).rangeBetween(-reach, reach), _axis("col", keys).rangeBetween(-reach, reach)
-        return t_with_sums(value, rows, cols, tag)
-
-    def t_with_sums(value, rows, cols, tag):
-        nonlocal t
-        t = t.withColumns({f"_s{tag}": F.sum(value).over(rows), f"_n{tag}": F.count(value).over(rows)})
-        t = t.withColumn(f"_f{tag}", F.try_divide(F.sum(f"_s{tag}").over(cols), F.sum(f"_n{tag}").over(cols)))
-        t = t.drop(f"_s{tag}", f"_n{tag}")
-        return F.col(f"_f{tag}")
-
-    fills = {v: [ring(v, r, f"{v[0]}{r}") for r in (1, 2, 3)] for v in ("elevation", "density_ratio")}
-    t = t.withColumns({
-        "elevation": F.coalesce("elevation", *fills["elevation"], "_mean"),
-        "density_ratio": F.coalesce("density_ratio", *fills["density_ratio"], "_mean_density"),
-        "latitude": F.col("lat0") + F.col("col") * F.col("lat_step"),
-        "longitude": F.col("lon0") + F.col("row") * F.col("lon_step")})
-    return untiled(t).select(*keys, "row", "col", "latitude", "longitude", "elevation", "density_ratio")
+    samples = staged(points.where("elevation is not null").select(*keys, "cell_id", "latitude", "longitude", "elevation", "density_ratio"))
+    b = staged(samples.groupBy(*keys).agg(
+        F.min("latitude").alias("lat0"), F.max("latitude").alias("lat1"), F.min("longitude").alias("lon0"), F.max("longitude").alias("lon1"),
+        F.avg("elevation").alias("_mean")))
+    steps = {f"{c}_step": (F.col(f"{c}1") - F.col(f"{c}0")) / (n - 1) for c in ("lat", "lon")}
+    every = F.sequence(F.lit(0), F.lit(n - 1))
+    frame = b.withColumns(steps).withColumn("row", F.explode(every)).withColumn("col", F.explode(every))
+    place = F.to_json(F.struct(*keys, "row", "col"))
+    frame = staged(frame.select(*keys, "row", "col", place.alias("place"), "_mean", (F.col("lat0") + F.col("col") * F.col("lat_step")).alias("latitude"),
+                                (F.col("lon0") + F.col("row") * F.col("lon_step")).alias("longitude")))
+    net = samples.select(*keys, F.col("cell_id").alias("station_id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), "elevation")
+    linear = staged(mesh.located(frame, staged(mesh.faces_of(net, ("elevation",), keys)), ("elevation",), "place", keys))
+    near = spatial.nearest_join(frame, samples, "place", "square", keys)
+    dense = near.join(samples.select(F.col("cell_id").alias("near_id"), "density_ratio"), "near_id").select("place", "density_ratio")
+    fill = frame.join(linear, "place").groupBy(*keys).agg(F.avg("elevation").alias("_inside"))
+    return (frame.join(linear, "place", "left").join(dense, "place", "left").join(fill, list(keys), "left")
+            .withColumn("elevation", F.coalesce("elevation", "_inside", "_mean"))
+            .select(*keys, "row", "col", "latitude", "longitude", "elevation", "density_ratio"))

@@ -1,12 +1,11 @@
 """Distance joins, nearest neighbours, boxes and grid look-ups."""
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline import params as P
 from ridgeline.functions import geo
+from ridgeline.operators import pyramid
 from ridgeline.session import staged
 
 METRICS = {
@@ -60,48 +59,18 @@ def radius_join(points: DataFrame, cells: DataFrame, radius_m: float = P.RESCUE_
     return pairs.where(near).drop("_by", "_bx", "_salt")
 
 
-def nearest_join(points: DataFrame, cells: DataFrame, point_id: str, metric: str = "euclid",
-                 keys=(), start: float = 0.002, growth: float = 4.0, cell_id: str = "cell_id") -> DataFrame:
-    """Nearest cell of every point (ties: lowest cell id), exact at any distance.
+def nearest_join(points: DataFrame, cells: DataFrame, point_id: str, metric: str = "euclid", keys=(), cell_id: str = "cell_id") -> DataFrame:
+    """Nearest cell of every point (ties: lowest cell id), exact at any distance, through a pyramid of occupied buckets.
 
-    Points probe 3 x 3 buckets.  A hit closer than one bucket is final, since
-    anything outside the block is farther; the rest go on with larger buckets.
-    Copies of a position are reduced to one cell first.  Result: point_id,
-    near_id, near_m (degrees for the Euclidean metric).
+    Copies of a position are reduced to one cell first.  Result: point_id, near_id, near_m (degrees for the Euclidean metric, their square
+    for "square"); both are null for a point without coordinates or, with keys, without cells.
     """
-    spots = cells.groupBy(*keys, "latitude", "longitude").agg(F.min(cell_id).alias("near_id"))
-    open_points = _renamed(points).select(point_id, *keys, "at_lat", "at_lon")
-    found, size = [], start
-    while True:
-        last = size > 720
-        best = _bucket_nearest(open_points, spots, point_id, metric, keys, size)
-        seen = staged(open_points.join(best, point_id, "left"))
-        final = F.lit(True) if last else F.coalesce(F.col("near_m") <= _safe_reach(metric, size), F.lit(False))
-        found.append(seen.where(final).select(point_id, "near_id", "near_m"))
-        open_points = seen.where(~final).select(point_id, *keys, "at_lat", "at_lon")
-        if last or open_points.isEmpty():
-            return reduce(DataFrame.unionByName, found)
-        size *= growth
-
-
-def _safe_reach(metric: str, size: float) -> Column:
-    if metric == "euclid":
-        return F.lit(size)
-    widest = F.cos(F.radians(F.least(F.abs(F.col("at_lat")) + 2 * size, F.lit(90.0))))
-    return widest * (size * 111_000.0 * 0.99)
-
-
-def _bucket_nearest(points, spots, point_id, metric, keys, size):
-    around = F.sequence(F.lit(-1), F.lit(1))
-    probes = (points.withColumn("_by", F.explode(F.transform(around, lambda i: F.floor(F.col("at_lat") / size) + i)))
-              .withColumn("_bx", F.explode(F.transform(around, lambda i: F.floor(F.col("at_lon") / size) + i))))
-    bucketed = spots.withColumns({"_by": F.floor(F.col("latitude") / size),
-                                  "_bx": F.floor(F.col("longitude") / size)})
-    distance = geo.degrees_apart if metric == "euclid" else geo.haversine_m
-    away = distance(*map(F.col, ("at_lat", "at_lon", "latitude", "longitude")))
-    hits = probes.join(bucketed, [*keys, "_by", "_bx"]).withColumn("near_m", away)
-    best = F.min(F.struct("near_m", "near_id")).alias("best")
-    return hits.groupBy(point_id).agg(best).select(point_id, "best.near_m", "best.near_id")
+    spots = cells.groupBy(*keys, "latitude", "longitude").agg(F.min(cell_id).alias("spot"))
+    tree = pyramid.pyramid(spots, keys)
+    at = staged(_renamed(points).select(point_id, *keys, "at_lat", "at_lon"))
+    if tree is None:
+        return at.select(point_id, F.lit(None).cast(cells.schema[cell_id].dataType).alias("near_id"), F.lit(None).cast("double").alias("near_m"))
+    return at.select(point_id).join(pyramid.nearest(at, tree, point_id, metric), point_id, "left")
 
 
 def snap_to_grid(points: DataFrame, grids: DataFrame, keys=("grid_id",), lat="latitude", lon="longitude") -> DataFrame:

@@ -1,36 +1,22 @@
-"""Wind at cells from a station network: nearest, inverse distance, linear, bias correction.
+"""Wind at cells from a station network of any size: nearest, inverse distance, linear, bias correction.
 
-Cells are many, stations are few but not limited: the network is written once, streamed to the tasks in blocks of BLOCK stations
-(48 bytes each) and every batch of cells is served from the blocks in turn, without a join or shuffle.  The way is the same for
-every size of the network.
+Cells find their nearest station through a pyramid of buckets and their triangle through an equi-join with the buckets of triangles;
+inverse-distance sums are added up from blocks of cells and stations.  Nothing of a network passes through the driver.
 """
 
-import numpy as np
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline import params as P
 from ridgeline.functions import kernels, wind
-from ridgeline.operators import spatial
+from ridgeline.operators import mesh, spatial
+from ridgeline.operators.mesh import triangles  # noqa: F401
 from ridgeline.session import staged
 
-BLOCK = 2000
-
-
-def blocks(net: DataFrame, *columns: str) -> list[dict]:
-    """Columns of a network in blocks of stations, ordered by station, as arrays for the tasks."""
-    out, rows = [], []
-    for row in net.select("station_id", *columns).orderBy("station_id").toLocalIterator():
-        rows.append(row)
-        if len(rows) == BLOCK:
-            out.append(_arrays(rows, ("station_id", *columns)))
-            rows = []
-    return out + ([_arrays(rows, ("station_id", *columns))] if rows else [])
-
-
-def _arrays(rows, columns) -> dict:
-    return {c: np.array([r[c] for r in rows]) for c in columns}
+BLOCK, CELLS = 2000, 20_000
 
 
 def network(stations: DataFrame, readings: DataFrame) -> DataFrame:
@@ -39,19 +25,18 @@ def network(stations: DataFrame, readings: DataFrame) -> DataFrame:
     return joined.withColumns({"u": wind.u_of(F.col("wd")), "v": wind.v_of(F.col("wd"))})
 
 
-def nearest_wind(cells: DataFrame, net: DataFrame) -> DataFrame:
-    """Wind of the nearest station in degrees; null without a station or without coordinates."""
-    parts = blocks(net, "lat", "lon", "ws", "wd")
+def _nearest_values(cells: DataFrame, net: DataFrame, *values) -> DataFrame:
+    """(cell_id, near_station, values) of the nearest station of cells(cell_id, latitude, longitude), in squared degrees."""
+    spots = net.select("station_id", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"))
+    near = spatial.nearest_join(cells.select("cell_id", "latitude", "longitude"), spots, "cell_id", "square", cell_id="station_id")
+    return near.join(net.select(F.col("station_id").alias("near_id"), *values), "near_id").withColumnRenamed("near_id", "near_station")
 
-    @F.pandas_udf("near_station int, wind_speed double, wind_direction double")
-    def serve(lat: pd.Series, lon: pd.Series) -> pd.DataFrame:
-        found = kernels.nearest(parts, lat.to_numpy(float), lon.to_numpy(float))
-        missing = found["station_id"] < 0
-        return pd.DataFrame({"near_station": pd.Series(found["station_id"], dtype="Int32").mask(missing),
-                             "wind_speed": pd.Series(found["ws"], dtype="Float64").mask(missing),
-                             "wind_direction": pd.Series(found["wd"], dtype="Float64").mask(missing)})
 
-    return cells.withColumn("_n", serve("latitude", "longitude")).select("*", "_n.*").drop("_n")
+def nearest_wind(cells: DataFrame, net: DataFrame) -> DataFrame:
+    """Wind of the nearest station in degrees; null without a station or without coordinates."""
+    net = staged(net)
+    near = _nearest_values(cells, net, F.col("ws").alias("wind_speed"), F.col("wd").alias("wind_direction"))
+    return cells.join(near.select("cell_id", "near_station", "wind_speed", "wind_direction"), "cell_id", "left")
 
 
 def _with_profile(cells: DataFrame, means: dict[str, Column]) -> DataFrame:
@@ -63,56 +48,34 @@ def _with_profile(cells: DataFrame, means: dict[str, Column]) -> DataFrame:
 
 
 def idw_wind(cells: DataFrame, net: DataFrame) -> DataFrame:
-    """Terrain-aware inverse distance: the vertical distance counts many times the horizontal."""
-    parts = blocks(net, "lat", "lon", "elev", "ws", "u", "v")
-
-    @F.pandas_udf("ws double, u double, v double, elev double")
-    def serve(lat: pd.Series, lon: pd.Series, elev: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(kernels.weighted_means(parts, lat.to_numpy(float), lon.to_numpy(float), elev.to_numpy(float)))
-
-    served = cells.withColumn("_m", serve("latitude", "longitude", "elevation"))
-    return _with_profile(served, {k: F.col(f"_m.{k}") for k in ("ws", "u", "v", "elev")}).drop("_m")
-
-
-def triangles(net: DataFrame) -> DataFrame:
-    """Delaunay triangles (i, j, k), counter-clockwise from the lowest station, by walking around every station.
+    """Terrain-aware inverse distance: the vertical distance counts many times the horizontal.
 
-    The nearest other station is joined to a station by an edge of the mesh.  From an edge, the next triangle on its left is the one
-    whose circle reaches least far along the edge's bisector; stations on one circle are fanned from the lowest of them.  The walk goes around until it is back or meets the hull, and then the
-    other way.  A task walks around its own stations and scans the network once per triangle.
+    Every block of cells meets every block of stations in a task of its own, and the sums of a cell are added up; stations at the
+    cell's own place are summed apart and, where there are any, take its value alone.
     """
-    parts = blocks(net, "lat", "lon")
-
-    @F.pandas_udf("array<struct<j:int,k:int>>")
-    def around(station: pd.Series, lat: pd.Series, lon: pd.Series) -> pd.Series:
-        return pd.Series([[{"j": j, "k": k} for j, k in kernels.fan(parts, *own)] for own in zip(station, lat, lon)])
-
-    spread = net.select("station_id", "lat", "lon").where("lat is not null and lon is not null").repartition("station_id")
-    fans = spread.select(F.col("station_id").alias("i"), F.explode(around("station_id", "lat", "lon")).alias("_t"))
-    return fans.select("i", "_t.j", "_t.k").where("i < j and i < k").distinct()
-
-
-def mesh(net: DataFrame, values) -> DataFrame:
-    """Triangles with their corner positions and the values to interpolate."""
-    out = triangles(net)
-    for corner in ("i", "j", "k"):
-        side = net.select(F.col("station_id").alias(corner),
-                          F.struct("lat", "lon", *values).alias(f"p_{corner}"))
-        out = out.join(side, corner)
-    return out
+    net, at = staged(net), staged(cells.select("cell_id", "latitude", "longitude", "elevation"))
+    size = net.agg(F.count("*").alias("n"), F.avg("lat").alias("lat")).first()
+    parts, groups = max(1, -(-size["n"] // BLOCK)), max(1, -(-at.count() // CELLS))
+    scale = math.cos(math.radians(size["lat"] or 0.0))
 
+    def block(key, n, of):
+        return F.pmod(F.xxhash64(key), F.lit(n)).alias(of)
 
-def interpolate(cells: DataFrame, net: DataFrame, values=("ws", "u", "v"), faces: DataFrame | None = None) -> DataFrame:
-    """Linear interpolation inside the hull of a network; null outside.  faces: its mesh, if it was made already."""
-    faces = mesh(net, values) if faces is None else faces
-    corners = [tuple(r[p].asDict() for p in ("p_i", "p_j", "p_k")) for r in faces.orderBy("i", "j", "k").toLocalIterator()]
+    every = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (groups, parts)]
+    stations = net.select("station_id", "lat", "lon", "elev", "ws", "u", "v", block("station_id", parts, "part")).withColumn("group", every[0])
+    asked = at.select("*", block("cell_id", groups, "group")).withColumn("part", every[1])
 
-    @F.pandas_udf(", ".join(f"{v} double" for v in values))
-    def serve(lat: pd.Series, lon: pd.Series) -> pd.DataFrame:
-        return kernels.inside_triangles(corners, lat.to_numpy(float), lon.to_numpy(float), values)
+    def add(cells: pd.DataFrame, net: pd.DataFrame) -> pd.DataFrame:
+        return kernels.weighted_sums(cells, net, scale)
 
-    found = cells.withColumn("_at", serve("latitude", "longitude"))
-    return found.withColumns({f"lin_{v}": F.col(f"_at.{v}") for v in values}).drop("_at")
+    sums = asked.groupBy("group", "part").cogroup(stations.groupBy("group", "part")).applyInPandas(
+        add, f"cell_id {at.schema['cell_id'].dataType.simpleString()}, " + ", ".join(f"{k} double" for k in kernels.SUMS))
+    total = sums.groupBy("cell_id").agg(*[F.sum(k).alias(k) for k in kernels.SUMS])
+    hit = F.col("n_here") > 0
+    means = total.select("cell_id", *[F.when(hit, F.try_divide(f"{k}_here", "n_here")).otherwise(F.try_divide(f"{k}_far", "n_far")).alias(f"_{k}")
+                                      for k in ("ws", "u", "v", "elev")])
+    served = cells.join(means, "cell_id", "left")
+    return _with_profile(served, {k: F.col(f"_{k}") for k in ("ws", "u", "v", "elev")}).drop("_ws", "_u", "_v", "_elev")
 
 
 def linear_wind(cells: DataFrame, net: DataFrame, altitude: bool = True) -> DataFrame:
@@ -121,19 +84,17 @@ def linear_wind(cells: DataFrame, net: DataFrame, altitude: bool = True) -> Data
     A network without a triangle (fewer than three stations, or all in one line) gives the constant fallback wind.
     """
     net = staged(net)
-    faces = staged(mesh(net, ("ws", "u", "v")))
+    faces = staged(mesh.faces_of(net, ("ws", "u", "v")))
     if faces.isEmpty():
         return constant_wind(cells)
-    lin = interpolate(cells, net, faces=faces)
-    near = nearest_wind(lin, net)
-    near = near.withColumnsRenamed({"wind_speed": "_ws", "wind_direction": "_wd"})
-    u = F.coalesce("lin_u", wind.u_of(F.col("_wd")))
-    v = F.coalesce("lin_v", wind.v_of(F.col("_wd")))
-    speed = F.coalesce("lin_ws", F.col("_ws"))
-    out = near.withColumns({
-        "wind_speed": wind.at_work_altitude(speed, F.col("elevation")) if altitude else speed,
-        "wind_u": u, "wind_v": v, "wind_direction": wind.direction_of(u, v)})
-    return out.drop("lin_ws", "lin_u", "lin_v", "_ws", "_wd", "near_station")
+    at = staged(cells.select("cell_id", "latitude", "longitude"))
+    inside = staged(mesh.located(at, faces, ("ws", "u", "v")))
+    outside = _nearest_values(at.join(inside, "cell_id", "left_anti"), net, "ws", wind.u_of(F.col("wd")).alias("u"), wind.v_of(F.col("wd")).alias("v"))
+    served = inside.unionByName(outside.select(inside.columns)).withColumnsRenamed({"ws": "_ws", "u": "_u", "v": "_v"})
+    out = cells.join(served, "cell_id", "left")
+    speed = wind.at_work_altitude(F.col("_ws"), F.col("elevation")) if altitude else F.col("_ws")
+    return out.withColumns({"wind_speed": speed, "wind_u": F.col("_u"), "wind_v": F.col("_v"),
+                            "wind_direction": wind.direction_of(F.col("_u"), F.col("_v"))}).drop("_ws", "_u", "_v")
 
 
 def constant_wind(cells: DataFrame) -> DataFrame:
@@ -159,10 +120,11 @@ def bias_corrected(points: DataFrame, observed: DataFrame) -> DataFrame:
     """
     observed = staged(observed)
     at = observed.select("station_id", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"))
-    near = spatial.nearest_join(at, points, "station_id", start=0.01)
+    near = spatial.nearest_join(at, points, "station_id")
     residuals = (near.join(points.select(F.col("cell_id").alias("near_id"), F.col("ws").alias("_forecast")), "near_id")
                  .join(observed, "station_id")
                  .select("station_id", "lat", "lon", (F.col("ws") - F.col("_forecast")).alias("residual")))
-    spread = interpolate(points, staged(residuals), ("residual",))
-    bias = F.coalesce("lin_residual", F.lit(0.0))
-    return spread.withColumns({"bias": bias, "ws_corrected": F.col("ws") + bias}).drop("lin_residual")
+    residuals = staged(residuals)
+    spread = mesh.located(staged(points.select("cell_id", "latitude", "longitude")), staged(mesh.faces_of(residuals, ("residual",))), ("residual",))
+    bias = F.coalesce("residual", F.lit(0.0))
+    return points.join(spread, "cell_id", "left").withColumns({"bias": bias, "ws_corrected": F.col("ws") + bias}).drop("residual")

@@ -4,13 +4,14 @@ import heapq
 import itertools
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ridgeline import params as P
 from ridgeline.catalog import rasters, routes, routing as routing_queries, winds, zones as zone_queries
 from ridgeline.fixtures import shape
-from ridgeline.operators import decisions, evaluation, paths, raster, routing, sampling, spatial, stations
+from ridgeline.operators import decisions, evaluation, mesh, paths, raster, routing, sampling, spatial, stations
 from ridgeline.plans import zones
 
 
@@ -88,11 +89,10 @@ def test_result_does_not_depend_on_partitioning(spark, sf):
 def test_blocks_of_stations_do_not_change_results(spark, sf, monkeypatch):
     cells, net = shape(spark, sf, "terrain_cells"), winds.live_network(spark, sf)
     cols = ("cell_id", "wind_speed", "wind_direction")
-    for fn in (stations.nearest_wind, stations.linear_wind):
-        whole = rows(fn(cells, net), *cols)
-        with monkeypatch.context() as m:
-            m.setattr(stations, "BLOCK", 4)
-            assert rows(fn(cells, net), *cols) == whole
+    whole = rows(stations.idw_wind(cells, net), *cols)
+    monkeypatch.setattr(stations, "BLOCK", 4)
+    monkeypatch.setattr(stations, "CELLS", 200)
+    assert rows(stations.idw_wind(cells, net), *cols) == whole
 
 
 NET = "station_id int, lat double, lon double, elev double, ws double, wd double"
@@ -122,25 +122,84 @@ def test_synthetic_stations_stand_in_for_an_empty_network(spark):
     assert [r["station_id"] for r in stations.synthetic_pair(none, 38.1, 128.4).orderBy("station_id").collect()] == [-2, -1]
 
 
-def test_a_large_network_is_meshed(spark):
-    """Over 2000 stations: every edge has two triangles or lies on the hull, and no circle holds another station."""
-    import numpy as np
-    spots = np.random.default_rng(3).random((2500, 2))
-    net = spark.createDataFrame([(k, float(y), float(x)) for k, (y, x) in enumerate(spots)], "station_id int, lat double, lon double")
-    faces = [tuple(r) for r in stations.triangles(net).collect()]
-    edges = {}
-    for i, j, k in faces:
-        for a, b in ((i, j), (j, k), (k, i)):
-            assert (a, b) not in edges
-            edges[a, b] = 1
-    hull = sum((b, a) not in edges for a, b in edges)
-    assert len(faces) == 2 * 2500 - 2 - hull
-    for i, j, k in faces[:60]:
-        (ay, ax), (by, bx), (cy, cx) = spots[i], spots[j], spots[k]
-        d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
-        ux = ((ax * ax + ay * ay) * (by - cy) + (bx * bx + by * by) * (cy - ay) + (cx * cx + cy * cy) * (ay - by)) / d
-        uy = ((ax * ax + ay * ay) * (cx - bx) + (bx * bx + by * by) * (ax - cx) + (cx * cx + cy * cy) * (bx - ax)) / d
-        assert ((spots[:, 1] - ux) ** 2 + (spots[:, 0] - uy) ** 2 >= (ax - ux) ** 2 + (ay - uy) ** 2 - 1e-9).all()
+def hull_area(points):
+    """Area of the convex hull."""
+    points = sorted(set(map(tuple, points)))
+
+    def half(side):
+        out = []
+        for p in side:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    ring = half(points) + half(points[::-1])
+    return sum(x * v - y * u for (x, y), (u, v) in zip(ring, ring[1:] + ring[:1])) / 2
+
+
+def clustered(rng, n):
+    return np.concatenate([rng.random((n, 2)) * 1e-3 + 5, rng.random((n // 4, 2)) * 10, rng.random((n // 4, 2)) * (10, 0.01)])
+
+
+@pytest.mark.parametrize("name", ["even", "clustered", "grid", "hundred thousand"])
+def test_a_large_network_is_meshed(spark, monkeypatch, name):
+    """The triangles cover the hull without overlap, every inner edge has two, and no circle of a sample holds another station."""
+    rng = np.random.default_rng(3)
+    spots = {"even": lambda: rng.random((2500, 2)), "clustered": lambda: clustered(rng, 800), "hundred thousand": lambda: rng.random((100_000, 2)),
+             "grid": lambda: np.stack(np.meshgrid(np.arange(40) * 0.01, np.arange(50) * 0.02), -1).reshape(-1, 2)}[name]()
+    if name != "hundred thousand":
+        monkeypatch.setattr(mesh, "TILE", 60)
+    net = spark.createDataFrame([(k, float(y), float(x)) for k, (x, y) in enumerate(spots)], "station_id int, lat double, lon double")
+    faces = np.array([tuple(r) for r in stations.triangles(net).collect()])
+    edges = np.sort(np.concatenate([faces[:, [0, 1]], faces[:, [1, 2]], faces[:, [0, 2]]]), axis=1)
+    shared = np.unique(edges, axis=0, return_counts=True)[1]
+    rim = int((shared == 1).sum())
+    assert shared.max() == 2 and len(faces) == 2 * len(spots) - 2 - rim and (faces[:, :1] < faces[:, 1:]).all()
+    a, b, c = (spots[faces[:, k]] for k in range(3))
+    twice = (b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0])
+    assert (twice > 0).all() and twice.sum() / 2 == pytest.approx(hull_area(spots), rel=1e-9)
+    for k in rng.integers(0, len(faces), 60):
+        x, y = (spots - a[k]).T
+        (ux, uy), (vx, vy) = b[k] - a[k], c[k] - a[k]
+        m, n = ux * ux + uy * uy, vx * vx + vy * vy
+        px, py = (vy * m - uy * n) / twice[k], (ux * n - vx * m) / twice[k]
+        assert (x * x + y * y - px * x - py * y >= -1e-9).all()
+
+
+def test_cells_find_their_triangle(spark):
+    """Linear values over a large clustered network against the plane that the stations lie on, and outside the nearest station."""
+    rng = np.random.default_rng(8)
+    at = clustered(rng, 400)
+    net = spark.createDataFrame([(k, float(y), float(x), 0.0, float(2 * x + 3 * y), 90.0) for k, (x, y) in enumerate(at)], NET)
+    net = stations.network(net.drop("ws", "wd"), net)
+    asked = np.concatenate([rng.random((300, 2)) * 12 - 1, rng.random((300, 2)) * 1e-3 + 5])
+    cells = spark.createDataFrame([(k, float(y), float(x), 10.0) for k, (x, y) in enumerate(asked)], "cell_id long, latitude double, longitude double, elevation double")
+    got = {r.cell_id: r.wind_speed for r in stations.linear_wind(cells, net, altitude=False).collect()}
+    near = [float(2 * x + 3 * y) for x, y in (at[np.argmin(((at - p) ** 2).sum(axis=1))] for p in asked)]
+    plane = (2 * asked[:, 0] + 3 * asked[:, 1]).tolist()
+    inside = [abs(got[k] - plane[k]) < 1e-6 for k in range(len(asked))]
+    assert 400 < sum(inside) < len(asked) and all(i or got[k] == pytest.approx(near[k]) for k, i in enumerate(inside))
+
+
+@pytest.mark.parametrize("metric", ["euclid", "square", "haversine"])
+def test_nearest_of_far_and_crowded_points(spark, metric):
+    rng = np.random.default_rng(11)
+    spots = np.concatenate([rng.random((3000, 2)) * 1e-4 + (38, 128), rng.random((300, 2)) * (160, 350) - (80, 175)])
+    asked = np.concatenate([rng.random((200, 2)) * 2e-4 + (38, 128), rng.random((200, 2)) * (178, 358) - (89, 179), spots[:50]])
+    frame = [spark.createDataFrame([(k, k % 2, float(y), float(x)) for k, (y, x) in enumerate(p)], f"{name} long, side int, latitude double, longitude double")
+             for name, p in (("cell_id", spots), ("p", asked))]
+    got = {r.p: (r.near_id, r.near_m) for r in spatial.nearest_join(frame[1], frame[0], "p", metric, ["side"]).collect()}
+    lat, lon = np.radians(spots).T
+    for k, (y, x) in enumerate(asked):
+        if metric == "haversine":
+            chord = np.sin((lat - np.radians(y)) / 2) ** 2 + np.cos(lat) * np.cos(np.radians(y)) * np.sin((lon - np.radians(x)) / 2) ** 2
+            far = 2 * P.EARTH_RADIUS_M * np.arctan2(np.sqrt(chord), np.sqrt(1 - chord))
+        else:
+            far = ((spots - (y, x)) ** 2).sum(axis=1) ** (1 if metric == "square" else 0.5)
+        far[1 - k % 2::2] = np.inf
+        assert got[k][1] == pytest.approx(far.min(), rel=1e-7, abs=1e-6 if metric == "haversine" else 1e-12)
+        assert far[got[k][0]] == pytest.approx(far.min(), rel=1e-7, abs=1e-6 if metric == "haversine" else 1e-12)
 
 
 def test_idw_at_a_station_takes_its_value(spark):
@@ -222,7 +281,28 @@ def test_neighbours_follow_holes_and_borders(spark):
 
 def test_scatter_grid_is_full(spark, sf):
     g = raster.scatter_to_grid(shape(spark, sf, "terrain_cells"), 40)
-    assert g.count() == 1600 and g.where("elevation is null").isEmpty()
+    assert g.count() == 1600 and g.where("elevation is null or density_ratio is null").isEmpty()
+
+
+def test_scatter_grid_is_linear_between_samples(spark):
+    """A plane over each key comes back; a cell outside the triangles has the mean of those inside, density is the nearest sample's."""
+    rng = np.random.default_rng(5)
+    samples, n = [], 25
+    for key, (a, b) in ((1, (3.0, -2.0)), (2, (-1.0, 4.0))):
+        at = rng.random((300, 2)) * 0.2
+        samples += [(key, 1000 * key + k, float(y), float(x), a * float(y) + b * float(x), float(k)) for k, (y, x) in enumerate(at)]
+    samples += [(3, 5000, 1.0, 1.0, 7.0, 0.5), (3, 5001, 1.1, 1.1, 9.0, 0.25)]
+    got = raster.scatter_to_grid(spark.createDataFrame(samples, "grid_id int, cell_id long, latitude double, longitude double, elevation double, density_ratio double"), n).collect()
+    assert len(got) == 3 * n * n
+    for key, (a, b) in ((1, (3.0, -2.0)), (2, (-1.0, 4.0))):
+        own, at = [r for r in got if r.grid_id == key], np.array([s[2:4] for s in samples if s[0] == key])
+        exact = [abs(r.elevation - a * r.latitude - b * r.longitude) < 1e-9 for r in own]
+        assert 0.8 < sum(exact) / len(own) < 1  # the rim of the grid lies outside
+        inside = np.mean([r.elevation for r, e in zip(own, exact) if e])
+        assert all(e or r.elevation == pytest.approx(inside) for r, e in zip(own, exact))
+        for r in own[::7]:
+            assert r.density_ratio == float(np.argmin(((at - (r.latitude, r.longitude)) ** 2).sum(axis=1)))
+    assert {(r.elevation, r.density_ratio) for r in got if r.grid_id == 3} == {(8.0, 0.5), (8.0, 0.25)}
 
 
 def test_shared_tree_equals_brute_force(spark, sf):
