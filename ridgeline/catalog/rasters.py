@@ -151,7 +151,7 @@ def box_slope_stats(spark, sf):
     at = spatial.snap_to_grid(shape(spark, sf, "incidents"), grids(spark, sf))
     requests = at.select("incident_id", "grid_id", F.col("row").alias("r0"), F.col("col").alias("c0"),
                          F.lit(25).alias("r1"), F.lit(50).alias("c1"))
-    return area.slope_distribution(area.box_cells(requests, terrain_layer(spark, sf)))
+    return area.box_slopes(requests, terrain_layer(spark, sf))
 
 
 cte("tiered", """SELECT *, CASE WHEN NOT is_open THEN NULL WHEN slope < 40 AND w < 18 AND canopy < 12 THEN 0

@@ -1,6 +1,7 @@
 """Station readings: text lines, validity and the newest reading of a window."""
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ridgeline.functions import times, wind
@@ -46,25 +47,26 @@ def as_of(readings: DataFrame, start: Column, end: Column) -> DataFrame:
 def as_of_each(requests: DataFrame, readings: DataFrame, minutes: int = 10, tie: str = "event_id") -> DataFrame:
     """Newest valid reading within ``minutes`` before each request time, for many requests.
 
-    Requests carry request_id, station_id and at.  Both sides are keyed by
-    (station, time slice): a reading meets the slices that can still ask for
-    it, so the join is an equi-join on evenly sized slices, not one on the
-    station alone.
+    Requests carry request_id, station_id and at.  Requests and readings are
+    put in one order per (station, time slice), where each reading is also in
+    the slice after its own; a request takes the last reading before it.  No
+    request meets more than one reading, however many share its slice.
     """
     slice_s = minutes * 60
 
     def slot(ts):
         return F.floor(F.unix_seconds(ts.cast("timestamp")) / slice_s)
 
-    asked = requests.withColumn("slot", slot(F.col("at")))
-    served = (valid(readings)
-              .withColumn("slot", F.explode(F.array(slot(F.col("ts")), slot(F.col("ts")) + 1))))
-    hit = asked.join(served, ["station_id", "slot"]).where(
-        (F.col("ts") <= F.col("at"))
-        & (F.col("ts") >= F.col("at") - F.expr(f"INTERVAL {minutes} MINUTES")))
-    best = F.max_by(F.struct("ws", "wd", "ts"), F.struct("ts", tie)).alias("last")
-    return (hit.groupBy("request_id", "station_id", "at").agg(best)
-            .select("request_id", "station_id", "at", "last.ws", "last.wd", "last.ts"))
+    found = F.struct("ws", "wd", "ts")
+    served = valid(readings).select("station_id", F.col("ts").alias("_t"), F.lit(0).alias("_asks"), F.col(tie).cast("long").alias("_tie"),
+                                    found.alias("_found"), F.explode(F.array(slot(F.col("ts")), slot(F.col("ts")) + 1)).alias("slot"))
+    asked = requests.select("station_id", F.col("at").alias("_t"), F.lit(1).alias("_asks"), F.struct("request_id", "at").alias("_request"),
+                            slot(F.col("at")).alias("slot"))
+    before = W.partitionBy("station_id", "slot").orderBy("_t", "_asks", "_tie").rowsBetween(W.unboundedPreceding, -1)
+    rows = (served.unionByName(asked, allowMissingColumns=True)
+            .withColumn("last", F.last("_found", ignorenulls=True).over(before)).where("_request is not null"))
+    return (rows.where(F.col("last.ts") >= F.col("_request.at") - F.expr(f"INTERVAL {minutes} MINUTES"))
+            .select("_request.request_id", "station_id", "_request.at", "last.ws", "last.wd", "last.ts"))
 
 
 def with_station(readings: DataFrame, stations: DataFrame) -> DataFrame:

@@ -107,10 +107,12 @@ def test_stream_in_many_batches_equals_batch(spark, sf):
         for f in glob.glob(f"{d}/in-{i}/part*.parquet"):
             shutil.copy(f, f"{d}/all/events-{i}.parquet")
             os.utime(f"{d}/all/events-{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
-    _, columns = __import__("ridgeline.fixtures", fromlist=["x"]).PROJECTIONS["observations"]
-    stream = stream_obs.read_events(spark, f"{d}/all", 1).selectExpr(*[f"{e} AS {n}" for e, n in columns])
-    source = stream.select(F.col("station_id").cast("bigint").alias("key"), "event_id", "ts", F.col("gust").alias("wind_max"))
-    got = {(r["event_id"], r["wind_locked"]) for r in stream_obs.drain(state.wind_lock(source), "append").collect()}
+
+    def make(inbox):
+        rows = stream_obs.readings(spark, f"{d}/all", 1, inbox).withWatermark("ts", "1 hour")
+        return state.wind_lock(rows.select(F.col("station_id").cast("bigint").alias("key"), "event_id", "ts", F.col("gust").alias("wind_max")))
+
+    got = {(r["event_id"], r["wind_locked"]) for r in stream_obs.drain_closed(spark, make).collect()}
     from ridgeline.catalog.decisions import wind_lock
     want = {(r["event_id"], r["wind_locked"]) for r in wind_lock(spark, sf).collect()}
     assert got == want
@@ -127,3 +129,28 @@ def test_shapes_cover_whole_tables(spark, sf):
     for name, source in (("terrain_cells", "orders"), ("incidents", "customer"), ("stations", "nation"),
                          ("observations", "events"), ("path_points", "lineitem")):
         assert shape(spark, sf, name).count() == spark.read.parquet(f"{sf}/{source}.parquet").count()
+
+
+def test_streams_in_event_time_take_files_out_of_order(spark, sf, tmp_path):
+    """The events in files whose order is not that of time, one file a batch, give what one file gives; rows behind the watermark go."""
+    from ridgeline.streaming import observations, state
+
+    events = spark.read.parquet(f"{sf}/events.parquet").orderBy("ts").toPandas()
+    parts = [events.iloc[k::3].sample(frac=1, random_state=k) for k in range(3)]
+    for name, part in zip(("events_2", "events_0", "events_1"), parts):
+        spark.createDataFrame(part).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    (tmp_path / "flat").mkdir()
+    for k, f in enumerate(sorted(tmp_path.glob("events_*/part-*"))):
+        f.rename(tmp_path / "flat" / f"events_{k}.parquet")
+
+    def lock(folder, delay, **how):
+        def make(inbox):
+            rows = observations.readings(spark, folder, inbox=inbox, **how).withWatermark("ts", delay)
+            return state.wind_lock(rows.selectExpr("CAST(station_id AS bigint) AS key", "event_id", "ts", "gust AS wind_max"))
+        return sorted(tuple(r) for r in observations.drain_closed(spark, make).select("key", "event_id", "ts", "wind_locked").collect())
+
+    whole = lock(sf, "20 minutes")
+    assert len(whole) == len(events)
+    assert lock(str(tmp_path / "flat"), "40 days", files_per_trigger=1) == whole
+    late = lock(str(tmp_path / "flat"), "1 minute", files_per_trigger=1)
+    assert 0 < len(late) < len(whole)
