@@ -17,16 +17,25 @@ from ridgeline.llm.pii import sanitised
 from ridgeline.session import importable_in_tasks, staged
 
 VOCABULARY = "byte_bpe_50k.json"
+BATCH, DEFAULT_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"), "10000"
 LEAST_LANGUAGE_SCORE = 0.2  # texts without letters have 0, short clean ones over 0.4
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Rows hold whole texts: fewer of them at a time go to Python, unless the session has set a number."""
+    if spark.conf.get(BATCH[0], None) in (None, DEFAULT_ROWS):
+        spark.conf.set(*BATCH)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the labelled rows teach; texts of other scripts or without letters go."""
+    _small_batches(spark)
     return with_language(docs, LEAST_LANGUAGE_SCORE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id, once."""
+    _small_batches(spark)
     kept = near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
     first = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
     chosen = docs.join(kept, "doc_id", "left_semi").select(F.struct("*").alias("row"), first.alias("first")).where("first = 1")
@@ -35,17 +44,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a copy, edited or not, of a benchmark item."""
+    _small_batches(spark)
     leaks = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
     return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; personal data and terms that disclose it are masked in the text, n_chars follows."""
+    _small_batches(spark)
     return sanitised(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents with their places in sequences of 2048 tokens."""
+    _small_batches(spark)
     return packed(docs, public_tokenizers.path(VOCABULARY), added=True)
 
 
