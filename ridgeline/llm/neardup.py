@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.components import components
-from ridgeline.llm.words import jaccard, mix, shingle_hashes, shingle_runs, texts_of_words
+from ridgeline.llm.words import jaccard, mix, shingle_hashes, shingle_runs, slices, texts_of_words
 from ridgeline.session import staged
 
 SIMILARITY = 0.8
 BANDS, ROWS = 41, 8
 BLOCK = 64
+VERIFY_ROWS = 256
 SLACK = 0.09  # four standard deviations of the estimate from BANDS * ROWS registers
 _STREAM = np.uint64(0xA0761D6478BD642F)
 
@@ -88,7 +89,7 @@ def _sign(batches, bands, rows):
 
 
 def _similar(batches):
-    for batch in batches:
+    for batch in slices(batches, VERIFY_ROWS):
         left, right = ([np.unique(shingle_hashes(words)) for *_, words in texts_of_words(batch.column(c))]
                        for c in ("text_a", "text_b"))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"),
@@ -117,7 +118,7 @@ def _without_singles(members: DataFrame) -> DataFrame:
 
 
 def _near_in_blocks(batches, least):
-    for batch in batches:
+    for batch in slices(batches, 1):
         out = {"a": [], "b": []}
         for row in batch.to_pylist():
             ids, parts, bands = ([np.array([m[k] for m in row[side]]) for side in ("left", "right")] for k in ("doc_id", "part", "bands"))

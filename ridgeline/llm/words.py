@@ -4,6 +4,8 @@ A column of texts is handled in runs of about RUN_BYTES bytes, so the arrays of
 one text longer than that makes a run of its own.  A null text counts as empty.
 """
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,9 +20,17 @@ _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.zeros(256, bool)
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU C library has it
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on after its task, beside the JVM of its executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A well-spread 64-bit value for each 64-bit value (splitmix finaliser)."""
     x = x.astype(np.uint64, copy=True)
@@ -59,6 +69,7 @@ def text_runs(column, lower: bool | str = False, limit: int | None = None):
     for base, texts in text_slices(column, lower is True):
         for first, data, offsets in runs(texts, limit or RUN_BYTES):
             yield base + first, _LOWER[data] if lower == "ascii" else data, offsets
+    give_back()
 
 
 def runs(column: pa.Array, limit: int = RUN_BYTES):
