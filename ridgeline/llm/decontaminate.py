@@ -59,14 +59,13 @@ class Seeds:
         return doc_at[order], item[order], self.place[flat][order], np.repeat(at, n)[order]
 
 
-PASSAGE = "doc_id long, item_id long, first_word long, words array<long>, seeds array<long>"
+PASSAGE = "doc_id long, item_id long, item_no int, first_word long, words array<long>, seeds array<long>"
 
 
 def _passages(batches, block: Seeds, size, least):
-    of_item = dict(block.items)
     for batch in batches:
         ids = batch.column("doc_id").to_pylist()
-        out = {"doc_id": [], "item_id": [], "first_word": [], "words": [], "seeds": []}
+        out = {"doc_id": [], "item_id": [], "item_no": [], "first_word": [], "words": [], "seeds": []}
         for row, _, _, _, words in texts_of_words(batch.column("text")):
             if ids[row] is None or len(words) < size:
                 continue
@@ -80,16 +79,17 @@ def _passages(batches, block: Seeds, size, least):
                 slack = max(3, m // 4)
                 lo = max(0, int((at[a:b] - place[a:b]).min()) - slack)
                 hi = min(len(words), int((at[a:b] - place[a:b]).max()) + m + slack)
-                aligned = of_item[block.items[int(item[a])][0]]
+                item_id, aligned = block.items[int(item[a])]
                 if np.isin(aligned, words[lo:hi]).sum() < least * len(aligned):  # even with all of these words in order
                     continue
                 out["doc_id"].append(ids[row])
-                out["item_id"].append(block.items[int(item[a])][0])
+                out["item_id"].append(item_id)
+                out["item_no"].append(int(item[a]))
                 out["first_word"].append(lo)
                 out["words"].append(words[lo:hi].view(np.int64))
                 out["seeds"].append(np.unique(block.seed[seed[a:b]]).view(np.int64))
-        yield pa.RecordBatch.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int64()),
-                                                         ("words", pa.list_(pa.int64())), ("seeds", pa.list_(pa.int64()))]))
+        yield pa.RecordBatch.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_no", pa.int32()),
+                                                         ("first_word", pa.int64()), ("words", pa.list_(pa.int64())), ("seeds", pa.list_(pa.int64()))]))
 
 
 def smith_waterman(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -124,16 +124,15 @@ LONE = ", lone boolean, content binary, seeds array<long>"  # no more than one s
 
 
 def _align(batches, block: Seeds, size, least):
-    of_item = dict(block.items)
     for batch in batches:
         rows, same = batch.to_pylist(), {}
         for r in rows:
-            same.setdefault((r["item_id"], np.array(r["words"], np.int64).tobytes()), []).append(r)
+            same.setdefault((r["item_no"], np.array(r["words"], np.int64).tobytes()), []).append(r)
         cases = sorted(same.items(), key=lambda c: (len(c[0][1]), c[0]))
         while cases:
             n = min(len(cases), max(1, 200_000 // max(1, len(cases[-1][0][1]) // 8)))
             part, cases = cases[-n:], cases[:-n]
-            items = [of_item[item].view(np.int64) for (item, _), _ in part]
+            items = [block.items[no][1].view(np.int64) for (no, _), _ in part]
             words = [np.frombuffer(w, np.int64) for (_, w), _ in part]
             raw, end = smith_waterman(items, words)
             keep = [k for k in range(n) if raw[k] >= least * SAME * len(items[k])]
@@ -174,7 +173,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, se
 
     One row per document and item, with the best passage (word numbers of the document, both inclusive).  Rows without id or text
     have no part; an item with fewer than seed_words words can't be told from ordinary text and is left out.  Repeated documents
-    count once; items that share an id are compared each, the last of them for its alignment.  Other columns are not read; an
+    count once; items that share an id are compared each, and the best of them counts.  Other columns are not read; an
     empty table on either side gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")

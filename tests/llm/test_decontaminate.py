@@ -71,3 +71,11 @@ def test_many_documents_with_few_seeds_of_an_item(documents, spark, words):
     got = {(r.doc_id, r.item_id): r.score for r in contaminated(documents(rows), items).collect()}
     assert set(got) == {(k, 0) for k in range(20)} | {(100 + k, 1) for k in range(20)} | {(200 + k, 2) for k in range(20)}
     assert all(0.5 <= got[k, 0] < 0.6 and got[100 + k, 1] == 1 and got[200 + k, 2] == 0.5 for k in range(20))
+
+
+def test_an_item_id_given_twice_is_compared_with_both_texts(documents, spark, words):
+    texts = [" ".join(words(20, 1)), " ".join(words(30, 2))]
+    items = spark.createDataFrame([(7, texts[0]), (7, texts[1]), (8, texts[1])], "item_id long, text string")
+    rows = [(k, " ".join(words(40, 10 + k)) + f" {t} " + " ".join(words(40, 20 + k))) for k, t in enumerate(texts)]
+    got = {(r.doc_id, r.item_id): (r.score, r.first_word, r.last_word) for r in contaminated(documents(rows), items).collect()}
+    assert got == {(0, 7): (1.0, 40, 59), (1, 7): (1.0, 40, 69), (1, 8): (1.0, 40, 69)}
