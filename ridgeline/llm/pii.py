@@ -19,6 +19,7 @@ KINDS = ("email", "ip", "card", "phone")
 ADDED = ("term", "stem")
 GENERALISE, REMOVE, SUPPORT = 0.85, 0.95, 3
 STEM = 3
+BLOCK = 256  # matches
 
 # The contract's patterns in forms that a backtracking engine matches in linear time: possessive, and starting only where a match can.
 PATTERNS = {
@@ -38,15 +39,24 @@ def _text_sql(pattern: str) -> str:
 
 
 def spans_sql(text: str, pattern: str, kind: str, worth: str = "true") -> str:
-    """SQL for all matches of a pattern (an SQL expression) in a text as an array of spans, if `worth` holds."""
+    """SQL for all matches of a pattern (an SQL expression) in a text as an array of spans, if `worth` holds.
+
+    Positions are sums of the lengths before.  They are added up within blocks of BLOCK matches that start from the sums of the blocks
+    before, as appending to an array copies it: the work grows with the matches, not with their square.
+    """
     hits = f"regexp_extract_all({text}, {pattern}, 0)"
-    walk = f"""aggregate(zip_with({hits}, slice(split({text}, {pattern}, -1), 1, size({hits})), (h, g) -> struct(h AS hit, g AS gap)),
-        struct(0L AS at, cast(array() AS array<{_SPAN}>) AS found),
-        (acc, x) -> struct(acc.at + length(x.gap) + length(x.hit) AS at,
-                           concat(acc.found, array(struct(acc.at + length(x.gap) AS start,
-                                  acc.at + length(x.gap) + length(x.hit) AS end, {kind} AS kind, x.hit AS hit))) AS found),
+    pieces = f"zip_with({hits}, slice(split({text}, {pattern}, -1), 1, size({hits})), (h, g) -> struct(h AS hit, length(g) AS gap))"
+    blocks = f"transform(sequence(0, int((size(p) - 1) div {BLOCK})), k -> slice(p, k * {BLOCK} + 1, {BLOCK}))"
+    starts = """aggregate(transform(bs, b -> aggregate(b, 0L, (a, x) -> a + x.gap + length(x.hit))),
+        struct(0L AS at, cast(array() AS array<bigint>) AS found),
+        (acc, n) -> struct(acc.at + n AS at, concat(acc.found, array(acc.at)) AS found), acc -> acc.found)"""
+    walk = f"""aggregate(b, struct(o AS at, cast(array() AS array<{_SPAN}>) AS found),
+        (acc, x) -> struct(acc.at + x.gap + length(x.hit) AS at,
+                           concat(acc.found, array(struct(acc.at + x.gap AS start,
+                                  acc.at + x.gap + length(x.hit) AS end, {kind} AS kind, x.hit AS hit))) AS found),
         acc -> acc.found)"""
-    return f"if(({worth}) AND size({hits}) > 0, {walk}, cast(array() AS array<{_SPAN}>))"
+    whole = f"flatten(transform(array({pieces}), p -> flatten(transform(array({blocks}), bs -> flatten(zip_with(bs, {starts}, (b, o) -> {walk}))))))"
+    return f"if(({worth}) AND size({hits}) > 0, {whole}, cast(array() AS array<{_SPAN}>))"
 
 
 def _digits(value: str) -> str:
@@ -86,10 +96,9 @@ def _entity(span: str) -> str:
     return f"CASE WHEN {span}.kind IN ('card', 'phone') THEN concat({span}.kind, ':', {_digits(span + '.hit')}) ELSE concat({span}.kind, ':', lower({span}.hit)) END"
 
 
-def _line(text: str, span: str) -> str:
-    """SQL for the rest of the line that holds a span."""
-    return (f"concat_ws(' ', substring_index(substring({text}, 1, int({span}.start)), '\\n', -1), "
-            f"substring_index(substring({text}, int({span}.end) + 1), '\\n', 1))")
+def _rest(line: str, span: str) -> str:
+    """SQL for a line without one of its spans."""
+    return f"concat_ws(' ', substring({line}, 1, int({span}.start)), substring({line}, int({span}.end) + 1))"
 
 
 def found(docs: DataFrame) -> DataFrame:
@@ -99,11 +108,15 @@ def found(docs: DataFrame) -> DataFrame:
 
 
 def contexts(marked: DataFrame) -> DataFrame:
-    """(entity, words): for every document and entity, the different words on the entity's lines."""
-    words = f"regexp_extract_all(lower({_line('text', 'b')}), {_text_sql(_WORD)}, 0)"
-    per_entity = (f"transform(array_distinct(transform(base, b -> {_entity('b')})), e -> struct(e AS entity, array_sort(array_distinct("
-                  f"flatten(transform(filter(base, b -> {_entity('b')} = e), b -> {words})))) AS words))")
-    return marked.select(F.explode(F.expr(per_entity)).alias("one")).select("one.entity", "one.words")
+    """(entity, words): for every document and entity, the different words on the entity's lines.
+
+    No span crosses a line, so the spans of a line are found in it and the lines of a document are handled apart.
+    """
+    lines = marked.select(F.monotonically_increasing_id().alias("doc"), F.explode(F.split("text", "\n")).alias("line"))
+    spans = lines.select("doc", "line", F.explode(base_spans("line")).alias("b"))
+    words = F.expr(f"regexp_extract_all(lower({_rest('line', 'b')}), {_text_sql(_WORD)}, 0)")
+    own = spans.select("doc", F.expr(_entity("b")).alias("entity"), words.alias("words"))
+    return own.groupBy("doc", "entity").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words")).drop("doc")
 
 
 def disclosures(marked: DataFrame, docs: DataFrame, least: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
