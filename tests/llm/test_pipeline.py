@@ -42,3 +42,21 @@ def test_odd_rows(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, sf)
     assert none.count() == 0
+
+
+UNSEEN = [
+    "Suomen kieli on uralilaisten kielten itämerensuomalaiseen ryhmään kuuluva kieli jota puhuvat pääosin suomalaiset",
+    "Język polski jest językiem naturalnym należącym do grupy zachodniosłowiańskiej używany jest głównie w Polsce",
+    "Türkçe konuşulan Türk dilleri dil ailesine ait sondan eklemeli bir dildir ve bu ailenin en çok konuşulan dilidir",
+    "Bahasa Indonesia adalah bahasa Melayu yang dijadikan sebagai bahasa resmi dan bahasa persatuan bangsa",
+    "Kiswahili ni lugha ya Kibantu yenye misamiati mingi ya Kiarabu inayozungumzwa katika eneo kubwa la Afrika",
+    "Tiếng Việt là ngôn ngữ của người Việt và là ngôn ngữ chính thức tại Việt Nam", "Русский язык один из восточнославянских языков",
+    "汉语是世界上使用人数最多的语言之一"]
+
+
+def test_languages_that_no_row_teaches_go(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    other = spark.createDataFrame([(10**6 + k, t, None, "s", len(t)) for k, t in enumerate(UNSEEN)], schema)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(other), sf).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()}
