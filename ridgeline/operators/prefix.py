@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ridgeline.session import staged
 
 VALUES_PER_BUCKET = 100_000
 
@@ -17,6 +18,7 @@ def running(counts: DataFrame, value: str, sums, keys=(), descending: bool = Fal
     one bucket and only the few bucket totals are put in one order.  The number
     of buckets follows the number of rows, so a bucket stays small.
     """
+    counts = staged(counts)  # read for the number of rows, the cuts, the totals and the sums
     buckets = max(2, -(-counts.count() // per_bucket))
     steps = [i / buckets for i in range(1, buckets)]
     cuts = counts.agg(F.percentile_approx(value, steps, 10 * buckets)).scalar()
