@@ -78,9 +78,10 @@ def test_all_links(documents, corpus):
 
 
 def test_small_blocks(documents, corpus, monkeypatch):
+    """Buckets of more than two members are compared in blocks of four."""
     monkeypatch.setattr(ngramjoin, "BLOCK", 4)
     rows = corpus[: len(corpus) // 2]
-    assert found(ngramjoin.similar_documents(documents(rows))) == expected(rows)
+    assert found(ngramjoin.similar_documents(documents(rows), small=2)) == expected(rows)
 
 
 def test_query(spark, sf):
