@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from ridgeline.operators import ranking, spatial
+from ridgeline.operators import paths, ranking, spatial
+from ridgeline.plans import training
 
 
 def plan(df):
@@ -38,3 +39,55 @@ def test_spread_picks_are_made_without_rounds(spark, monkeypatch):
     monkeypatch.setattr(ranking, "_greedy", lambda *a: 1 / 0)
     picks = ranking.spread_top(df, [F.col("cell_id").asc()], n=3)
     assert rows(picks.na.fill(-1), "incident_id", "rank", "cell_id") == [(-1, 1, 6), (1, 1, 0), (1, 2, 2), (1, 3, 3), (2, 1, 4)]
+
+
+def test_boxes_meet_occupied_buckets_only_and_broadcast_nothing(spark):
+    cells = lattice(spark, 60).withColumns({"latitude": F.expr("latitude * 7 - 228.0"), "longitude": F.expr("longitude * 7 - 768.0")})
+    points = spark.range(30).selectExpr("id AS incident_id", "38.0 + id * 1.3e-2 AS latitude", "128.0 + (id % 5) * 9e-2 AS longitude")
+    got = spatial.box_degrees(points.union(points.limit(1)), cells)
+    assert "Broadcast" not in plan(got)
+    pairs = points.union(points.limit(1)).crossJoin(cells.selectExpr("latitude AS a", "longitude AS o", "elevation")).where(
+        "a BETWEEN latitude - 0.15 AND latitude + 0.15 AND o BETWEEN longitude - 0.15 AND longitude + 0.15")
+    brute = pairs.groupBy("incident_id").agg(F.count("*").alias("n_cells"), F.sum("elevation").alias("sum_elev")).where("n_cells >= 10")
+    assert rows(got, "incident_id", "n_cells", "sum_elev") == rows(brute, "incident_id", "n_cells", "sum_elev")
+
+
+def test_waypoints_send_no_cells_to_all_tasks(spark):
+    grid = spark.range(400).selectExpr("0 AS grid_id", "CAST(floor(id / 20) AS INT) AS row", "CAST(id % 20 AS INT) AS col",
+                                       "CAST(id % 60 AS DOUBLE) AS slope", "id % 7 = 0 AS is_ridge")
+    pairs = spark.range(3).selectExpr("id AS path_id", "0 AS grid_id", "1 AS r0", "2 AS c0", "17 AS r1", "CAST(id + 9 AS INT) AS c1")
+    assert "Broadcast" not in plan(paths.refined_waypoints(pairs, grid))
+
+
+def test_hardest_start_makes_no_row_per_cell_of_a_line(spark):
+    grid = spark.range(90 * 80).where("id % 97 <> 5").selectExpr(
+        "0 AS grid_id", "CAST(floor(id / 80) AS INT) AS row", "CAST(id % 80 AS INT) AS col",
+        "CASE WHEN id % 11 <> 3 THEN CAST((id * 7919) % 61 AS DOUBLE) END AS slope")
+    grid = grid.union(grid.where("row = 40 AND col < 50"))  # cells that come twice count twice
+    grids = spark.createDataFrame([(0, 90, 80)], "grid_id int, n_rows int, n_cols int")
+    spots = spark.createDataFrame([(0, 40, 39), (0, 40, 39), (0, 0, 0), (0, 63, 64), (0, 89, 79), (1, 5, 5), (None, 3, 3)], "grid_id int, row int, col int")
+    got = paths.hardest_start(spots, grid, grids)
+    assert "FlatMapCoGroupsInPandas" in plan(got)
+    starts = (spots.distinct().selectExpr("grid_id", "row AS r1", "col AS c1").join(grids, "grid_id")
+              .withColumn("dr", F.explode(F.expr("sequence(-35, 35, 5)"))).withColumn("dc", F.explode(F.expr("sequence(-35, 35, 5)")))
+              .where("NOT (abs(dr) < 15 AND abs(dc) < 15) AND r1 + dr BETWEEN 0 AND n_rows - 1 AND c1 + dc BETWEEN 0 AND n_cols - 1")
+              .selectExpr("*", "r1 + dr AS r0", "c1 + dc AS c0"))
+    mean = (paths.straight_cells(starts, "round").join(grid, ["grid_id", "row", "col"])
+            .groupBy("r1", "c1", "r0", "c0").agg(F.round(F.avg("slope"), 9).alias("severity")))
+    best = mean.groupBy("r1", "c1").agg(F.max(F.struct("severity", (-F.col("r0")).alias("r"), (-F.col("c0")).alias("c"))).alias("b"))
+    assert rows(got, "row", "col", "start_row", "start_col", "severity") == rows(
+        best.selectExpr("r1", "c1", "-b.r AS r0", "-b.c AS c0", "b.severity"), "r1", "c1", "r0", "c0", "severity")
+
+
+def test_short_files_are_learned_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(training, "ROWS_PER_TASK", 100)
+    one = spark.range(1000).coalesce(1)
+    wide = training.spread(one)
+    assert wide.rdd.getNumPartitions() == 10 and rows(wide, "id") == rows(one, "id")
+    assert training.spread(spark.range(150).coalesce(1)).rdd.getNumPartitions() == 1
+
+
+def test_fits_run_side_by_side(spark):
+    import threading
+    met = threading.Barrier(3)
+    assert training.together([lambda k=k: (met.wait(20), k)[1] for k in range(3)]) == [0, 1, 2]
