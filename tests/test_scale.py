@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ridgeline.operators import paths, ranking, spatial
+from ridgeline.operators import paths, ranking, routing, spatial
 from ridgeline.plans import training
 
 
@@ -91,3 +91,36 @@ def test_fits_run_side_by_side(spark):
     import threading
     met = threading.Barrier(3)
     assert training.together([lambda k=k: (met.wait(20), k)[1] for k in range(3)]) == [0, 1, 2]
+
+
+def test_searches_with_bounded_boxes_make_no_rounds_of_joins(spark, monkeypatch):
+    """Walks in arrays by tile and through the table of states: same costs, paths and counts; the first without a round."""
+    grid = spark.range(900).selectExpr(
+        "0 AS grid_id", "CAST(floor(id / 30) AS INT) AS row", "CAST(id % 30 AS INT) AS col",
+        "CASE WHEN id % 7 = 3 OR floor(id / 30) = 20 THEN 60.0 ELSE CAST(id * 31 % 40 AS DOUBLE) END AS slope",
+        "CAST(id * 17 % 10 AS DOUBLE) / 10 AS density", "CAST(id * 13 % 20 AS DOUBLE) AS canopy").where("(row + 2 * col) % 23 != 5")
+    edges = routing.walk_edges(grid)
+    asked = spark.range(40).selectExpr(
+        "id AS request_id", "0 AS grid_id", "CAST(id * 7 % 30 AS INT) AS r0", "CAST(id * 11 % 30 AS INT) AS c0",
+        "CAST(id * 7 % 30 + id % 5 - 2 AS INT) AS r1", "CAST(id * 11 % 30 + id % 6 - 3 AS INT) AS c1",
+        "CASE id % 4 WHEN 0 THEN 'light' WHEN 1 THEN 'heavy' WHEN 2 THEN 'other' END AS size")
+    columns = ("request_id", "explored", "blocked", "cost", "path")
+
+    def searched(asked, *how):
+        return sorted(map(str, routing.least_cost(asked, edges, *how).select(*columns).collect()))
+
+    for how in ((3, 500.0, 20.0), (2, None, 0.0)):
+        with monkeypatch.context() as m:
+            m.setattr(routing, "_searched_in_rounds", lambda *a: 1 / 0)
+            m.setattr(routing, "SEARCH_TILE", 8)
+            m.setattr(routing, "SEARCH_REACH", 16)
+            m.setattr(routing, "SEARCH_STATES", 500)
+            by_tile = searched(asked, *how)
+        with monkeypatch.context() as m:
+            m.setattr(routing, "_searched_by_tile", lambda asked, *a: spark.createDataFrame(
+                [], "request_id long, explored long, blocked long, cost double, path array<struct<row:int,col:int>>"))
+            m.setattr(routing, "SEARCH_REACH", -1)
+            in_rounds = searched(asked, *how)
+        assert by_tile == in_rounds and len(by_tile) == 40
+    odd = asked.limit(3).unionByName(asked.limit(2)).unionByName(asked.limit(1).withColumn("request_id", F.lit(None).cast("long")))
+    assert len(searched(odd, 3, 500.0, 20.0)) == 4  # a request given twice counts once; one without id keeps its row
