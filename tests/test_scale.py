@@ -124,3 +124,22 @@ def test_searches_with_bounded_boxes_make_no_rounds_of_joins(spark, monkeypatch)
         assert by_tile == in_rounds and len(by_tile) == 40
     odd = asked.limit(3).unionByName(asked.limit(2)).unionByName(asked.limit(1).withColumn("request_id", F.lit(None).cast("long")))
     assert len(searched(odd, 3, 500.0, 20.0)) == 4  # a request given twice counts once; one without id keeps its row
+
+
+def test_a_tile_at_rest_is_not_relaxed_again(spark, monkeypatch):
+    """A tree within one tile takes one round; over several tiles it has the costs of the one-tile search."""
+    grid = spark.range(400).selectExpr(
+        "0 AS grid_id", "CAST(floor(id / 20) AS INT) AS row", "CAST(id % 20 AS INT) AS col", "'other' AS size")
+    around = "filter(flatten(transform(array(-1, 0, 1), r -> transform(array(-1, 0, 1), c -> struct(row + r AS row, col + c AS col)))), " \
+             "e -> e.row BETWEEN 0 AND 19 AND e.col BETWEEN 0 AND 19 AND (e.row != row OR e.col != col))"
+    cost = "CAST(1 + (e.row * 7 + e.col * 13) % 11 AS DOUBLE)"
+    edges = grid.selectExpr("grid_id", "row", "col", f"transform({around}, e -> struct(e.row AS row, e.col AS col, "
+                            f"{cost} AS cost_light, {cost} AS cost_heavy, {cost} AS cost_other)) AS edges")
+    source = grid.where("row = 3 AND col = 4")
+    rounds = []
+    relaxed = routing._relaxed_tile
+    monkeypatch.setattr(routing, "_relaxed_tile", lambda keys: rounds.append(1) or relaxed(keys))
+    whole = rows(routing.source_tree(source, edges), "row", "col", "g")
+    assert len(rounds) == 1 and len(whole) == 400
+    monkeypatch.setattr(routing, "ROUTE_TILE", 7)
+    assert rows(routing.source_tree(source, edges), "row", "col", "g") == whole
