@@ -88,6 +88,51 @@ def test_short_files_are_learned_by_many_tasks(spark, monkeypatch):
     assert training.spread(spark.range(150).coalesce(1)).rdd.getNumPartitions() == 1
 
 
+def test_large_fits_follow_one_another_and_rows_stay_out_of_memory(spark, monkeypatch):
+    """Each fit holds its own copy of the rows, so four at once need four times the memory and disk."""
+    import threading
+    import time
+    lock, now, most = threading.Lock(), [0], [0]
+
+    def fit(rows, mode, **how):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.2)
+        with lock:
+            now[0] -= 1
+        return mode
+
+    monkeypatch.setattr(training, "fit", fit)
+    modes = ("large_landing", "large_hoist")
+    table = spark.range(100).select("id", *[F.lit(0.0).alias(c) for c in training.P.FEATURES], *[F.lit(0).alias(f"target_{m}") for m in modes],
+                                    F.lit(False).alias("is_test"), F.lit(True).alias("is_train_final"))
+    cores = spark.sparkContext.defaultParallelism
+    assert training.fit_all(table.repartition(4 * cores), modes) == {m: m for m in modes} and most == [1]
+    training.fit_all(table.coalesce(1), modes)
+    assert most == [2]
+    kept = training.spread(training.learning_rows(table, modes))
+    assert "id" not in kept.columns and not kept.storageLevel.useMemory and kept.storageLevel.useDisk
+    kept.unpersist()
+
+
+def test_a_query_of_one_mode_fits_that_mode(spark, monkeypatch):
+    from ridgeline.catalog import models
+    asked = []
+    monkeypatch.setattr(models.ml, "fit_all", lambda rows, modes=(): asked.append([*modes]) or {})
+    monkeypatch.setattr(models.ml, "save", lambda fits, folder: None)
+    rows, calls = spark.range(1), []
+
+    def load(folder, modes):
+        calls.append(modes)
+        if len(calls) == 1:
+            raise models.AnalysisException("none")
+        return dict.fromkeys(modes)
+
+    monkeypatch.setattr(models.ml, "load", load)
+    assert models.fitted(spark, "/none", ["large_landing"], rows) == {"large_landing": None} and asked == [["large_landing"]]
+
+
 def test_fits_run_side_by_side(spark):
     import threading
     met = threading.Barrier(3)
