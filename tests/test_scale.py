@@ -80,6 +80,28 @@ def test_hardest_start_makes_no_row_per_cell_of_a_line(spark):
         best.selectExpr("r1", "c1", "-b.r AS r0", "-b.c AS c0", "b.severity"), "r1", "c1", "r0", "c0", "severity")
 
 
+def test_sides_beyond_the_cells_of_a_grid_have_no_rim(spark):
+    """Boxes of a grid of 21 x 35 cells, without some of them, that reach over its sides, lie in it or beside it."""
+    from ridgeline.operators import area
+    grid = (spark.range(21 * 35).selectExpr("1 AS grid_id", "CAST(id DIV 35 + 3 AS INT) AS row", "CAST(id % 35 - 2 AS INT) AS col",
+                                            "CASE WHEN id % 13 <> 5 THEN (id * 37 % 101) * 7e-1 END AS slope"))
+    asked = spark.createDataFrame([(1, 1, 12, 9, 12, 20), (2, 1, 3, -2, 23, 32), (3, 1, 4, 30, 5, 31), (4, 1, 60, 9, 61, 12), (5, 2, 4, 4, 5, 5), (6, 1, 3, 9, 4, 10)],
+                                  "incident_id int, grid_id int, r0 int, c0 int, r1 int, c1 int")
+    for margin in (0, 3, 20):
+        boxes = asked.join(grid.where("slope is not null"), "grid_id").where(
+            f"row BETWEEN least(r0, r1) - {margin} AND greatest(r0, r1) + {margin} AND col BETWEEN least(c0, c1) - {margin} AND greatest(c0, c1) + {margin}")
+        want = boxes.groupBy("incident_id").agg(F.count("*").alias("n_cells"), F.min("slope").alias("slope_min"), F.max("slope").alias("slope_max"),
+                                                F.round(F.avg("slope"), 9).alias("m"), F.round(F.median("slope"), 9).alias("median"))
+        got = area.box_slopes(asked, grid, margin).selectExpr("incident_id", "n_cells", "slope_min", "slope_max", "round(slope_mean, 9) AS m", "round(slope_median, 9) AS median")
+        names = ("incident_id", "n_cells", "slope_min", "slope_max", "m", "median")
+        assert rows(got, *names) == rows(want, *names)
+    cells = grid.selectExpr("grid_id", "CAST(row AS long) AS _r", "CAST(col AS long) AS _c")
+    over = spark.createDataFrame([(1, 1, -9, 70, -9, 70)], "incident_id int, grid_id int, _r0 long, _r1 long, _c0 long, _c1 long")
+    box = area._to_borders(over, cells, ("grid_id",))
+    assert rows(box, "_r0", "_r1", "_c0", "_c1") == [(0, 31, -16, 47)]
+    assert area._blocks_of(box, 1, 4, 4).count() == area._blocks_of(box, 4, 16, 4).count() == 0
+
+
 def test_short_files_are_learned_by_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(training, "ROWS_PER_TASK", 100)
     one = spark.range(1000).coalesce(1)
